@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, warc
+from . import bpe, linededup, packing, sharding, warc
 from .store import Scratch, read, ship_by_value
 
 ship_by_value()
@@ -16,6 +17,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.lengths(read(spark, sf_dir, "documents")), Scratch(spark, "op1"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return linededup.dedup_lines(docs, Scratch(spark, "op6")).select("doc_id", "n_lines", "lines_removed", "words_removed", "text")
+
+
 def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write(read(spark, sf_dir, "pages"), Scratch(spark, "op7")).index()
 
@@ -24,6 +30,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), Scratch(spark, "op9"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op7_warc_archive, op9_sharding)}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op6_line_dedup, op7_warc_archive, op9_sharding, op10_bpe)}
 
 ORACLES: dict[str, str] = {}
