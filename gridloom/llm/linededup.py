@@ -53,7 +53,7 @@ def _sites(docs: DataFrame, min_words: int) -> DataFrame:
 
 def boilerplate(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """(line): the hashes of the lines on at least ``min_sites`` sites."""
-    rows = scratch.table(_sites(docs, min_words), "rows")
+    rows = scratch.table(_sites(docs, min_words), "rows", wide=True)
     # A line needs as many rows as sites, so most lines never get a sketch.
     often = scratch.table(rows.groupBy("line").count().where(F.col("count") >= min_sites).select("line"), "often")
     rows = scratch.table(rows.join(often, "line", "left_semi"), "some")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, linededup, packing, sharding, warc
+from . import bpe, linededup, packing, quality_rules, sharding, warc
 from .store import Scratch, read, ship_by_value
 
 ship_by_value()
@@ -26,6 +26,11 @@ def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write(read(spark, sf_dir, "pages"), Scratch(spark, "op7")).index()
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), Scratch(spark, "op8"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), Scratch(spark, "op9"))
 
@@ -34,6 +39,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op6_line_dedup, op7_warc_archive, op9_sharding, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op6_line_dedup, op7_warc_archive, op8_quality_rules, op9_sharding, op10_bpe)}
 
 ORACLES: dict[str, str] = {}

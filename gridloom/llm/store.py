@@ -33,7 +33,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, wide: bool = False) -> DataFrame:
+        """Write and reread. Unless ``wide`` (about as large as the input), in a file or two per core, not one per partition."""
+        if not wide:
+            df = df.coalesce(2 * self.spark.sparkContext.defaultParallelism)
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

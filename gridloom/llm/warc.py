@@ -80,7 +80,7 @@ def write(pages: DataFrame, scratch: Scratch, least_bytes: int = 0) -> Archive:
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     page = pages.select("page_id", "url", F.col("html").isNull().alias("missing"), payload.alias("payload")).withColumn("addr", F.sha2("payload", 256))
     store = page.groupBy("addr").agg(F.any_value("payload").alias("payload"))
-    store = scratch.table(store, "store")
+    store = scratch.table(store, "store", wide=True)
     meta = page.select("page_id", "url", "missing", "addr", F.octet_length("payload").cast("long").alias("n"), base32_sha1(F.col("payload")).alias("digest"))
     meta = scratch.table(meta, "meta")
     first = meta.groupBy("addr").agg(F.max("page_id").alias("response"), F.min("digest").alias("d0"), F.max("digest").alias("d1"))
