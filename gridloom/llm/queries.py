@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, linededup, packing, quality_rules, sharding, warc
+from . import bpe, classifier, embed_dedup, linededup, packing, quality_rules, sharding, warc
 from .store import Scratch, read, ship_by_value
 
 ship_by_value()
@@ -21,6 +21,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), Scratch(spark, "op3"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), Scratch(spark, "op4"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return linededup.dedup_lines(docs, Scratch(spark, "op6")).select("doc_id", "n_lines", "lines_removed", "words_removed", "text")
@@ -43,6 +47,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op3_quality_classifier, op6_line_dedup, op7_warc_archive, op8_quality_rules, op9_sharding, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op3_quality_classifier, op4_embedding_dedup, op6_line_dedup, op7_warc_archive, op8_quality_rules, op9_sharding, op10_bpe)}
 
 ORACLES: dict[str, str] = {}
