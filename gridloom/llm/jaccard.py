@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkit as tk
+from .counting import Counted, count
 from .graph import components
 from .store import Scratch
 
@@ -34,9 +35,6 @@ K, PERCENT = 5, 80
 SHARE = 0.4
 #: A shingle of more sets is common. The lists of common shingles hold stars; they have no cap.
 COMMON = 24
-#: Most common shingles that are broadcast (2 MB), those of the most sets; bits of the bitmap (8 MB).
-MAX_COMMON, BITS = 1 << 18, 1 << 26
-BUCKETS = 128
 KEYS = 3
 
 
@@ -44,81 +42,31 @@ def _limit() -> np.uint64:
     return tk.U64(int(SHARE * 2**64))
 
 
-def _code(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each hash, and what identifies it there."""
-    n = tk.U64(buckets)
-    return (h % n).astype(np.int64), ((h // n) & tk.U64(0xFFFFFFFF)).astype(np.uint32)
-
-
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     for first, last, data, offsets in tk.pieces(batch):
         _, _, h, bounds = tk.words(data, offsets)
         yield first, last, tk.shingle_sets(h, bounds, k)
 
 
-def _count(docs: DataFrame, k: int, buckets: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Codes of common shingles, and the bitmap of those that came twice or more with its bits per bucket."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            h = np.concatenate(held)
-            bucket, code = _code(h, buckets)
-            order = np.lexsort((code, bucket))
-            bucket, code = bucket[order], code[order]
-            at = np.searchsorted(bucket, np.arange(buckets + 1))
-            some = np.flatnonzero(at[1:] > at[:-1])
-            return pa.RecordBatch.from_arrays([pa.array(some), pa.array([code[at[b] : at[b + 1]].tobytes() for b in some], pa.binary())], ["bucket", "codes"])
-
-        for batch in batches:
-            for _, _, sets in _sets(batch, k):
-                for s in sets:
-                    held.append(s[: np.searchsorted(s, _limit())])
-                    size += len(held[-1])
-                if size > 2_000_000:
-                    yield out()
-                    held, size = [], 0
-        if size:
-            yield out()
-
-    bits = max(8, BITS // buckets)
-    most = max(1, MAX_COMMON // buckets)
-
-    def tally(table: pa.Table) -> pa.Table:
-        codes, n = np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in table["codes"].to_pylist()]), return_counts=True)
-        mask = np.zeros(bits, bool)
-        mask[codes[n > 1] % bits] = True
-        common = codes[n > COMMON][np.argsort(-n[n > COMMON], kind="stable")[:most]]
-        return pa.table({"bucket": table["bucket"][:1], "bits": pa.array([np.packbits(mask).tobytes()], pa.binary()), "common": pa.array([common.tobytes()], pa.binary())})
-
-    rows = docs.select("text").mapInArrow(pack, "bucket long, codes binary").groupBy("bucket").applyInArrow(tally, "bucket long, bits binary, common binary")
-    twice, common = np.zeros((buckets, bits // 8), np.uint8), [np.zeros(0, np.uint64)]
-    for r in rows.collect():  # a bitmap of fixed size and MAX_COMMON codes at most, whatever the input
-        twice[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
-        common.append(np.frombuffer(r["common"], np.uint32).astype(np.uint64) * tk.U64(buckets) + tk.U64(r["bucket"]))
-    return np.sort(np.concatenate(common)), twice, bits
+PROFILE = "doc_id long, n long, s1 long, s2 long, listed binary, places binary, keys array<long>, shingles binary"
 
 
-PROFILE = "doc_id long, n long, s1 long, s2 long, listed binary, places binary, keys array<long>, shingles binary"
+def _low(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
+    for _, _, sets in _sets(batch, k):
+        yield from (s[: np.searchsorted(s, _limit())] for s in sets)
 
 
-def _profile(docs: DataFrame, common: np.ndarray, twice: np.ndarray, bits: int, k: int, percent: int, buckets: int) -> DataFrame:
+def _profile(docs: DataFrame, counted: Counted, k: int, percent: int) -> DataFrame:
     """A row per text; without a prefix shingle that may come twice, listed and what follows are null."""
-    shared = docs.sparkSession.sparkContext.broadcast((common, twice))
+    shared = docs.sparkSession.sparkContext.broadcast(counted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, twice = shared.value
+        known = shared.value
         for batch in batches:
             for first, last, sets in _sets(batch, k):
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                bucket, code = _code(flat, buckets)
-                counted = flat < _limit()
-                whole = code.astype(np.uint64) * tk.U64(buckets) + bucket.astype(np.uint64)
-                spot = np.searchsorted(common, whole)
-                hot = counted & (np.append(common, 0)[spot] == whole) if len(common) else np.zeros(len(flat), bool)
-                at = (code % tk.U64(bits)).astype(np.int64)
-                again = ~counted | ((twice[bucket, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+                low = flat < _limit()
+                hot, again = low & known.often(flat), ~low | known.again(flat)
                 mixed = tk.mix(flat)
                 cols: list[list] = [[] for _ in range(7)]
                 begin = 0
@@ -167,12 +115,12 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long, both long, nu long, nv long").withColumn("any", F.col("nu") + F.col("nv") - F.col("both"))
 
 
-def links(docs: DataFrame, scratch: Scratch, k: int = K, percent: int = PERCENT, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def links(docs: DataFrame, scratch: Scratch, k: int = K, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(profile of each row; distinct sets (n, s1, s2, rep); verified links (u, v) between reps).
 
     The links connect just what all links connect.
     """
-    prof = scratch.table(_profile(docs, *_count(docs, k, buckets), k, percent, buckets), "profile", wide=True)
+    prof = scratch.table(_profile(docs, count(docs.select("text"), lambda batch: _low(batch, k), COMMON), k, percent), "profile", wide=True)
     live = prof.where("listed is not null")
     reps = scratch.table(live.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "reps")
     ids = reps.select(F.col("rep").alias("doc_id"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, embed_dedup, jaccard, linededup, packing, quality_rules, sharding, warc
+from . import bpe, classifier, embed_dedup, jaccard, linededup, packing, quality_rules, sharding, suffix_dedup, warc
 from .store import Scratch, read, ship_by_value
 
 ship_by_value()
@@ -29,6 +29,11 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), Scratch(spark, "op4"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.dedup_passages(docs, Scratch(spark, "op5"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return linededup.dedup_lines(docs, Scratch(spark, "op6")).select("doc_id", "n_lines", "lines_removed", "words_removed", "text")
@@ -51,6 +56,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_quality_classifier, op4_embedding_dedup, op6_line_dedup, op7_warc_archive, op8_quality_rules, op9_sharding, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_quality_classifier, op4_embedding_dedup, op5_suffix_dedup, op6_line_dedup, op7_warc_archive, op8_quality_rules, op9_sharding, op10_bpe)}
 
 ORACLES: dict[str, str] = {}
