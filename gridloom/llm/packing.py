@@ -79,7 +79,7 @@ def lengths(docs: DataFrame) -> DataFrame:
 
 def pack(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, per_source: int = PER_SOURCE, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(doc_id, n_words, n_full, pack_group, bin, start) for each row of ``items`` (doc_id, source, n_words, cluster)."""
-    items = scratch.table(items.select("doc_id", "source", "n_words", "cluster"), "items")
+    items = scratch.table(items.select("doc_id", "source", "n_words", "cluster"), "items", wide=True)
     groups = max(1, -(-items.count() // group_rows))
     dealt = items.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(groups)))
 

@@ -45,11 +45,17 @@ def _repeated(w: Column, h: Column) -> Column:
     return let(keyed, lambda s: F.aggregate(places(s), start, step)["n"])
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) and the measures that rules are learned from."""
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def features(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, BASE and the measures that rules are learned from; with ``carry`` the whole row too, as a struct."""
+    more = ["row"] if carry else []
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
     text = F.coalesce("text", F.lit(""))
-    df = docs.select("doc_id", text.alias("t")).select(
+    df = docs.select("doc_id", text.alias("t"), *row).select(
         "doc_id",
+        *more,
         "t",
         F.array_remove(F.split("t", SPACES), "").alias("w"),
         F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(_BLANK)) != "").alias("lines"),
@@ -60,6 +66,7 @@ def features(docs: DataFrame) -> DataFrame:
     repeats = let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(_repeated(F.col("w"), h)))
     df = df.select(
         "doc_id",
+        *more,
         F.size("w").cast("long").alias("n_words"),
         F.length(F.regexp_replace("t", SPACES, "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -75,7 +82,7 @@ def features(docs: DataFrame) -> DataFrame:
     )
     per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     return df.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", *more, *BASE,
         per("n_symbols", "word_chars").alias("symbols"),
         per("n_dup_lines", "n_lines").alias("dup_lines"),
         per("n_repeat_words", "n_words").alias("repeats"),
@@ -196,11 +203,11 @@ def _info(p: int, n: int) -> float:
     return math.log2((p + 0.5) / (p + n + 1))
 
 
-def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[Rule]]:
+def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch, carry: bool = False) -> tuple[DataFrame, list[Rule]]:
     """``features`` of each document with base_failed, rule and kept, and the rules learned from ``labels`` (doc_id, quality)."""
-    feats = scratch.table(features(docs), "features")
+    feats = scratch.table(features(docs, carry), "features", wide=True)
     marked = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("label"))
     # What fails the base rules is gone already, and teaches nothing.
-    rules = learn(feats.where(~base_failed()).join(marked, "doc_id"), scratch)
+    rules = learn(feats.where(~base_failed()).select("doc_id", *MEASURES).join(marked, "doc_id"), scratch)
     out = feats.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)), rules

@@ -36,7 +36,7 @@ def shard(docs: DataFrame, scratch: Scratch, shards: int = 24, rounds: int = ROU
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row of ``docs`` (doc_id, text)."""
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"))
-    base = scratch.table(base, "base")
+    base = scratch.table(base, "base", wide=True)
     group = ["h", "text_crc32", "size"]
     total = base.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
