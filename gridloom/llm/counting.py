@@ -2,7 +2,7 @@
 
 A hash goes to a bucket and is known there by 32 more bits.  Each bucket counts its own hashes and
 answers with its part of the bitmap of what came twice or more, and with its commonest hashes.
-A clear bit is sure; a set bit may be another hash's, so it only lets more pass.
+A clear bit of the two is sure; set bits may be other hashes', so it only lets more pass.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ class Counted:
 
     def again(self, h: np.ndarray) -> np.ndarray:
         bucket, code = _code(h, self.buckets)
-        at = (code % tk.U64(self.bits)).astype(np.int64)
-        return ((self.twice[bucket, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+        out = np.ones(len(h), bool)
+        for at in _spots(code, self.bits):
+            out &= ((self.twice[bucket, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+        return out
 
     def often(self, h: np.ndarray) -> np.ndarray:
         if not len(self.common):
@@ -50,6 +52,11 @@ def _code(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (h % n).astype(np.int64), ((h // n) & tk.U64(0xFFFFFFFF)).astype(np.uint32)
 
 
+def _spots(code: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The two bits of each code."""
+    return [((code.astype(np.uint64) * tk.U64(m) >> tk.U64(20)) % tk.U64(bits)).astype(np.int64) for m in (0x9E3779B1, 0x85EBCA6B)]
+
+
 def count(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], over: int = 1 << 31, buckets: int = BUCKETS) -> Counted:
     """Count the arrays of hashes that ``hashes`` makes of each batch of ``docs``."""
 
@@ -80,7 +87,8 @@ def count(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarra
     def tally(table: pa.Table) -> pa.Table:
         codes, n = np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in table["codes"].to_pylist()]), return_counts=True)
         mask = np.zeros(bits, bool)
-        mask[codes[n > 1] % bits] = True
+        for at in _spots(codes[n > 1], bits):
+            mask[at] = True
         common = codes[n > over][np.argsort(-n[n > over], kind="stable")[:most]]
         return pa.table({"bucket": table["bucket"][:1], "bits": pa.array([np.packbits(mask).tobytes()], pa.binary()), "common": pa.array([common.tobytes()], pa.binary())})
 

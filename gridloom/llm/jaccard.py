@@ -5,6 +5,7 @@
 2. Every set gives its prefix in that order to inverted index lists (shingle, position): two sets
    with similarity >= t share a shingle of both prefixes.  Entries are skipped by position and set
    size, and shingles that occur once are never listed.
+   Lone sets whose 256-bit parities differ too much are skipped too.
 3. Equal sets are one.  A set highly similar to another (they share a min-hash, and the similarity
    is verified) joins that set's star; lists hold stars, so copies of one text never meet pairwise.
 4. The answers of a star's members derive from the answer of its centre: Jaccard distance is a
@@ -28,14 +29,14 @@ from pyspark.sql import DataFrame, functions as F
 from . import textkit as tk
 from .counting import Counted, count
 from .graph import components
-from .store import Scratch
+from .store import Scratch, Shared
 
 K, PERCENT = 5, 80
 #: Part of the hash space whose shingles are counted: enough for the prefix of a half-common text.
 SHARE = 0.4
 #: A shingle of more sets is common. The lists of common shingles hold stars; they have no cap.
 COMMON = 24
-KEYS = 3
+KEYS = 4
 
 
 def _limit() -> np.uint64:
@@ -48,7 +49,9 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, list[np.nda
         yield first, last, tk.shingle_sets(h, bounds, k)
 
 
-PROFILE = "doc_id long, n long, s1 long, s2 long, listed binary, places binary, keys array<long>, shingles binary"
+PROFILE = "doc_id long, n long, s1 long, s2 long, listed binary, places binary, keys array<long>, parity array<long>"
+#: Bits of a set's parity: bit i says if an odd number of its shingles hash to i.
+WIDTH, WORDS = 256, 4
 
 
 def _low(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
@@ -58,10 +61,10 @@ def _low(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
 
 def _profile(docs: DataFrame, counted: Counted, k: int, percent: int) -> DataFrame:
     """A row per text; without a prefix shingle that may come twice, listed and what follows are null."""
-    shared = docs.sparkSession.sparkContext.broadcast(counted)
+    shared = Shared(docs.sparkSession, counted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = shared.get()
         for batch in batches:
             for first, last, sets in _sets(batch, k):
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -86,33 +89,98 @@ def _profile(docs: DataFrame, counted: Counted, k: int, percent: int) -> DataFra
                             row[3] = s[order[place]].tobytes()
                             row[4] = place.astype(np.int32).tobytes()
                             row[5] = [int(s[0].view(np.int64)), *(int(tk.mix(s ^ tk.U64(7919 * (j + 1))).min().view(np.int64)) for j in range(KEYS - 1))]
-                            row[6] = s.tobytes()
+                            odd = np.bincount((mixed[own] % tk.U64(WIDTH)).astype(np.int64), minlength=WIDTH) & 1
+                            row[6] = np.packbits(odd.astype(bool)).view(np.int64).tolist()
                     for c, x in zip(cols, row):
                         c.append(x)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"][first:last], *[pa.array(c, t) for c, t in zip(cols, kinds)]], ["doc_id", "n", "s1", "s2", "listed", "places", "keys", "shingles"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][first:last], *[pa.array(c, t) for c, t in zip(cols, kinds)]], ["doc_id", "n", "s1", "s2", "listed", "places", "keys", "parity"])
 
     return docs.select("doc_id", "text").mapInArrow(run, PROFILE)
 
 
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (u, v, ...) with the sizes of both sets and of their intersection."""
-    left = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("su"))
-    right = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv"))
-    both = pairs.join(left, "u").join(right, "v")
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of at least the ids: a bitmap of them goes to the texts, so that the others are never shuffled."""
+    found = Shared(docs.sparkSession, count(ids, lambda batch: iter([tk.mix(np.repeat(batch["doc_id"].drop_null().to_numpy().view(np.uint64), 2))])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            inter, nu, nv = [], [], []
-            for a, b in zip(batch["su"], batch["sv"]):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                spot = np.searchsorted(y, x)
-                inter.append(int((np.append(y, 0)[spot] == x)[spot < len(y)].sum()))
-                nu.append(len(x))
-                nv.append(len(y))
-            yield pa.RecordBatch.from_arrays([batch["u"], batch["v"], pa.array(inter, pa.int64()), pa.array(nu, pa.int64()), pa.array(nv, pa.int64())], ["u", "v", "both", "nu", "nv"])
+            i = batch["doc_id"].fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.filter(pa.array(found.get().again(tk.mix(i))))
 
-    return both.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long, both long, nu long, nv long").withColumn("any", F.col("nu") + F.col("nv") - F.col("both"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(run, "doc_id long, text string")
+
+
+def _shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
+    return [s for _, _, sets in _sets(pa.RecordBatch.from_arrays([texts], ["text"]), k) for s in sets]
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    spot = np.searchsorted(y, x)
+    return int((y[np.minimum(spot, len(y) - 1)] == x).sum()) if len(y) else 0
+
+
+def _compare(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, k: int) -> DataFrame:
+    """``pairs`` (u, v) with the sizes of both sets, of what they share (both), and of their union (any)."""
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    texts = scratch.table(_texts(docs, ids), f"{name}-texts", wide=True)
+    both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                held: dict[int, np.ndarray] = {}
+                for side, text in (("u", "tu"), ("v", "tv")):
+                    at_first = {i: j for j, i in reversed(list(enumerate(part[side].to_pylist()))) if i not in held}
+                    held |= zip(at_first, _shingles(part[text].take(pa.array(list(at_first.values()), pa.int64())), k))
+                out += [(_shared(held[u], held[v]), len(held[u]), len(held[v])) for u, v in zip(part["u"].to_pylist(), part["v"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch["u"], batch["v"], *[pa.array([o[j] for o in out], pa.int64()) for j in range(3)]], ["u", "v", "both", "nu", "nv"])
+
+    out = both.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long, both long, nu long, nv long")
+    return out.withColumn("any", F.col("nu") + F.col("nv") - F.col("both"))
+
+
+#: Members of a star in a block, and sets that meet a block in one task.
+BLOCK, GUESTS = 256, 1024
+
+
+def _answers(open_: DataFrame, members: DataFrame, docs: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
+    """Links (u, v) between the members of ``open_`` stars (host, guest), the best one for each block and guest.
+
+    Members of a star share nearly all their shingles, so a block lists each shingle once with its
+    members, and a guest's answers for a whole block come from one look at that list.
+    """
+    hosts = open_.select(F.col("host").alias("star")).distinct().join(members, "star").select("star", "doc_id")
+    guests = open_.join(members.select(F.col("star").alias("guest"), F.col("doc_id").alias("v")), "guest").select(F.col("host").alias("star"), "v").distinct()
+    ids = hosts.select("doc_id").unionAll(guests.select(F.col("v").alias("doc_id"))).distinct()
+    texts = scratch.table(_texts(docs, ids), "answer-texts", wide=True)
+    sizes = hosts.groupBy("star").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).join(guests.groupBy("star").agg(F.ceil(F.count("*") / GUESTS).alias("salts")), "star")
+    sizes = scratch.table(sizes, "answer-sizes")
+    host = hosts.join(sizes, "star").join(texts, "doc_id").select(F.col("star").alias("s"), F.pmod(F.xxhash64("doc_id"), "blocks").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("z"), F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    guest = guests.join(sizes, "star").join(texts.withColumnRenamed("doc_id", "v"), "v").select(F.col("star").alias("gs"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("gb"), F.pmod(F.xxhash64("v"), "salts").alias("gz"), F.col("v").alias("gid"), F.col("text").alias("gt"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        u, v = [], []
+        if left.num_rows and right.num_rows:
+            sets = _shingles(left["t"].combine_chunks(), k)
+            n = np.array([len(s) for s in sets])
+            flat, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+            order = np.argsort(flat, kind="stable")
+            flat, who = flat[order], who[order]
+            ids = left["id"].to_numpy()
+            for x, s in zip(right["gid"].to_pylist(), _shingles(right["gt"].combine_chunks(), k)):
+                a, b = np.searchsorted(flat, s), np.searchsorted(flat, s, "right")
+                spots = np.repeat(a - np.cumsum(b - a) + (b - a), b - a) + np.arange(int((b - a).sum()))
+                both = np.bincount(who[spots], minlength=len(sets))
+                good = (100 * both >= percent * (n + len(s) - both)) & (ids != x)
+                if good.any():
+                    u.append(x)
+                    v.append(int(ids[good].min()))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return host.groupBy("s", "b", "z").cogroup(guest.groupBy("gs", "gb", "gz")).applyInArrow(run, "u long, v long")
 
 
 def links(docs: DataFrame, scratch: Scratch, k: int = K, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -120,23 +188,28 @@ def links(docs: DataFrame, scratch: Scratch, k: int = K, percent: int = PERCENT)
 
     The links connect just what all links connect.
     """
-    prof = scratch.table(_profile(docs, count(docs.select("text"), lambda batch: _low(batch, k), COMMON), k, percent), "profile", wide=True)
-    live = prof.where("listed is not null")
+    whole = scratch.table(_profile(docs, count(docs.select("text"), lambda batch: _low(batch, k), COMMON), k, percent), "profile", wide=True)
+    prof = scratch.table(whole.select("doc_id", "n", "s1", "s2", F.col("listed").isNotNull().alias("live")), "ids")
+    live = whole.where("listed is not null")
     reps = scratch.table(live.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "reps")
     ids = reps.select(F.col("rep").alias("doc_id"))
     linked = 100 * F.col("both") >= percent * F.col("any")
     far = 1 - percent / 100 + 1e-9
 
-    # Stars: the smallest set with the same min-hash, if it is similar.
+    # Stars: the smallest set that shares a min-hash and is similar.
     keyed = live.select("doc_id", F.posexplode("keys").alias("j", "key")).join(ids, "doc_id", "left_semi")
     keyed = scratch.table(keyed, "keyed")
     first = scratch.table(keyed.groupBy("j", "key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("m")).where("m > 1").drop("m"), "first")
-    lead = keyed.join(first, ["j", "key"]).groupBy("doc_id").agg(F.min("lead").alias("lead")).where("lead < doc_id")
-    lead = scratch.table(lead.select(F.col("doc_id").alias("u"), F.col("lead").alias("v")).distinct(), "lead")
-    near = scratch.table(_compare(lead, live).where(linked).select("u", "v", (1 - F.col("both") / F.col("any")).alias("d")).groupBy("u", "v").agg(F.max("d").alias("d")), "near")
+    lead = keyed.join(first, ["j", "key"]).where("lead < doc_id").select(F.col("doc_id").alias("u"), F.col("lead").alias("v")).distinct()
+    lead = scratch.table(lead, "lead")
+    near = _compare(lead, docs, scratch, "lead", k).where(linked).select("u", "v", (1 - F.col("both") / F.col("any")).alias("d"))
+    near = scratch.table(near.groupBy("u").agg(F.min(F.struct("v", "d")).alias("x")).select("u", "x.*"), "near")
+    scratch.drop("lead-texts")
     members = ids.join(near.withColumnRenamed("u", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("v", "doc_id").alias("star"), F.coalesce("d", F.lit(0.0)).alias("d"))
     members = scratch.table(members, "members")
-    stars = scratch.table(members.groupBy("star").agg(F.count("*").alias("size"), F.max("d").alias("radius")), "stars")
+    parity = live.select("doc_id", *[F.get("parity", F.lit(w)).alias(f"f{w}") for w in range(WORDS)])
+    stars = members.join(parity, "doc_id").groupBy("star").agg(F.count("*").alias("size"), F.max("d").alias("radius"), *[F.min(f"f{w}").alias(f"f{w}") for w in range(WORDS)])
+    stars = scratch.table(stars, "stars")
 
     # Lists of (shingle, place) with what is needed to skip by size and place.
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,20 +226,25 @@ def links(docs: DataFrame, scratch: Scratch, k: int = K, percent: int = PERCENT)
     lists = listed.groupBy("shingle", "star").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("place").alias("p0"))
     lists = scratch.table(lists, "lists", wide=True)
     mixed = scratch.table(lists.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1").select("shingle"), "mixed")
-    lists = scratch.table(lists.join(mixed, "shingle", "left_semi").join(stars, "star").withColumn("alone", F.col("size") == 1).select("shingle", "star", "n0", "n1", "p0", "alone"), "blocks")
-    scratch.drop("lists", "mixed", "keyed", "first", "lead")
+    lists = scratch.table(lists.join(mixed, "shingle", "left_semi").join(stars, "star").withColumn("alone", F.col("size") == 1).select("shingle", "star", "n0", "n1", "p0", "alone", *[f"f{w}" for w in range(WORDS)]), "blocks")
+    scratch.drop("profile", "lists", "mixed", "keyed", "first", "lead")
 
     # A block holds the entries of a list with about the same size; a set looks only at its own block and those
     # that sizes allow, and skips entries whose places leave too little to share.
     step = np.log(100 / percent)
     lists = lists.withColumn("b0", F.floor(F.log(F.col("n0")) / step)).withColumn("b1", F.floor(F.log(F.col("n1")) / step))
-    left = lists.select("shingle", F.explode(F.sequence(F.col("b0") - 1, F.col("b1") + 1)).alias("block"), *[F.col(c).alias(f"a_{c}") for c in ("star", "n0", "n1", "p0", "alone", "b0")])
-    right = lists.select("shingle", F.explode(F.sequence("b0", "b1")).alias("block"), *[F.col(c).alias(f"b_{c}") for c in ("star", "n0", "n1", "p0", "alone", "b0")])
+    held = ["star", "n0", "n1", "p0", "alone", "b0", *[f"f{w}" for w in range(WORDS)]]
+    left = lists.select("shingle", F.explode(F.sequence(F.col("b0") - 1, F.col("b1") + 1)).alias("block"), *[F.col(c).alias(f"a_{c}") for c in held])
+    right = lists.select("shingle", F.explode(F.sequence("b0", "b1")).alias("block"), *[F.col(c).alias(f"b_{c}") for c in held])
     fits = (percent * F.col("a_n0") <= 100 * F.col("b_n1")) & (percent * F.col("b_n0") <= 100 * F.col("a_n1"))
     room = F.least(F.col("a_n1") - F.col("a_p0"), F.col("b_n1") - F.col("b_p0"))
     need = percent * (F.col("a_n0") + F.col("b_n0"))  # both * (100 + percent) >= percent * (n + n')
     once = F.col("block") == F.greatest(F.col("a_b0") - 1, F.col("b_b0"))  # the first block that both are in
-    met = left.join(right, ["shingle", "block"]).where((F.col("a_star") < F.col("b_star")) & once & fits & ((100 + percent) * room >= need))
+    # Two lone sets differ in as many shingles, at least, as their parities differ in bits.
+    size = F.col("a_n0") + F.col("b_n0")
+    apart = sum((F.bit_count(F.col(f"a_f{w}").bitwiseXOR(F.col(f"b_f{w}"))) for w in range(WORDS)), F.lit(0))
+    close = ~(F.col("a_alone") & F.col("b_alone")) | (apart <= size - 2 * F.ceil(percent * size / (100 + percent)))
+    met = left.join(right, ["shingle", "block"]).where((F.col("a_star") < F.col("b_star")) & once & fits & ((100 + percent) * room >= need) & close)
     cand = met.groupBy(F.col("a_star").alias("u"), F.col("b_star").alias("v")).agg(
         F.count("*").alias("shared"), F.first(F.col("a_alone") & F.col("b_alone")).alias("alone"), F.min("a_n0").alias("na"), F.min("b_n0").alias("nb")
     )
@@ -174,25 +252,23 @@ def links(docs: DataFrame, scratch: Scratch, k: int = K, percent: int = PERCENT)
     behind = lambda n: F.floor((percent * F.col(n) + 99) / 100) - 1
     enough = (100 + percent) * (F.col("shared") + F.greatest(behind("na"), behind("nb"))) >= percent * (F.col("na") + F.col("nb"))
     cand = scratch.table(cand.where(~F.col("alone") | enough).select("u", "v"), "pairs")
-    centre = _compare(cand, live).select("u", "v", linked.alias("linked"), (1 - F.col("both") / F.col("any")).alias("d"))
+    centre = _compare(cand, docs, scratch, "pairs", k).select("u", "v", linked.alias("linked"), (1 - F.col("both") / F.col("any")).alias("d"))
     centre = scratch.table(centre, "centre")
+    scratch.drop("blocks", "pairs", "pairs-texts")
     sure = near.select("u", "v").unionAll(centre.where("linked").select("u", "v"))
 
-    # Members of two stars whose centres do not decide.
-    radius = stars.where("radius > 0").select("star", "radius")
-    open_ = centre.where("not linked").join(radius.select(F.col("star").alias("u"), F.col("radius").alias("ru")), "u", "left").join(radius.select(F.col("star").alias("v"), F.col("radius").alias("rv")), "v", "left")
-    open_ = open_.na.fill(0.0, ["ru", "rv"]).where((F.col("ru") + F.col("rv") > 0) & (F.col("d") <= far + F.col("ru") + F.col("rv")))
-    open_ = scratch.table(open_.select("u", "v", "d", "rv"), "open")
+    # Two stars whose centres do not decide: all members of the smaller one look at those of the larger one.
+    wide = stars.select("star", "radius", "size")
+    open_ = centre.where("not linked").join(wide.select(F.col("star").alias("u"), F.col("radius").alias("ru"), F.col("size").alias("mu")), "u").join(wide.select(F.col("star").alias("v"), F.col("radius").alias("rv"), F.col("size").alias("mv")), "v")
+    open_ = open_.where((F.col("ru") + F.col("rv") > 0) & (F.col("d") <= far + F.col("ru") + F.col("rv")))
+    first = F.col("mu") >= F.col("mv")
+    open_ = scratch.table(open_.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("host"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("guest")), "open")
     if not open_.isEmpty():
         label = components(sure, scratch, "so-far")
-        open_ = open_.join(label.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(label.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
-        open_ = scratch.table(open_.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v", "d", "rv"), "still-open")
-        a = members.select(F.col("star").alias("u"), F.col("doc_id").alias("x"), F.col("d").alias("dx"))
-        b = members.select(F.col("star").alias("v"), F.col("doc_id").alias("y"), F.col("d").alias("dy"))
-        reach = F.col("d") - F.col("dx") - F.col("dy") <= far
-        pairs = open_.join(a, "u").where(F.col("d") - F.col("dx") <= far + F.col("rv")).join(b, "v").where(reach & (F.col("x") != F.col("y"))).select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
-        more = scratch.table(_compare(scratch.table(pairs, "member-pairs"), live).where(linked).select("u", "v"), "more")
-        sure = sure.unionAll(more)
+        open_ = open_.join(label.select(F.col("node").alias("host"), F.col("component").alias("ch")), "host", "left").join(label.select(F.col("node").alias("guest"), F.col("component").alias("cg")), "guest", "left")
+        open_ = scratch.table(open_.where(F.coalesce("ch", "host") != F.coalesce("cg", "guest")).select("host", "guest"), "still-open")
+        sure = sure.unionAll(scratch.table(_answers(open_, members, docs, scratch, k, percent), "answers"))
+        scratch.drop("answer-texts")
     return prof, reps, sure
 
 
@@ -202,7 +278,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = K, percent: int
     label = components(sure, scratch)
     known = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     known = scratch.table(known, "known")
-    live = prof.where("listed is not null").select("doc_id", "n", "s1", "s2").join(known, ["n", "s1", "s2"])
-    rest = prof.where("listed is null")
+    live = prof.where("live").select("doc_id", "n", "s1", "s2").join(known, ["n", "s1", "s2"])
+    rest = prof.where(~F.col("live"))
     out = live.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(rest.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

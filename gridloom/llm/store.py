@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import uuid
@@ -46,6 +47,25 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        jvm.System.gc()  # Spark deletes the shuffle files of plans that are gone
+
+
+class Shared:
+    """A broadcast of any object, pickled with its code, so that executors can read it without this package."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self.sent, self.held = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def get(self):
+        if self.held is None:
+            import pickle
+
+            self.held = pickle.loads(self.sent.value)
+        return self.held
+
+    def __getstate__(self):
+        return {"sent": self.sent, "held": None}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
