@@ -100,9 +100,9 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES, m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, figures = [], []
             given = batch["text"]
             for first, last, data, offsets in tk.pieces(batch):
+                texts, figures = [], []
                 if listed is not None:
                     gone = lambda h, k: np.isin(h.view(np.int64), listed.value)
                 else:
@@ -110,9 +110,9 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES, m
                 for k, (text, *rest) in enumerate(_strip(data, offsets, gone, min_words)):
                     texts.append(given[first + k].as_py() if text is None else text.decode())
                     figures.append(rest)
-            cols = [pa.array(texts, pa.string()) if c == "text" else batch[c] for c in names]
-            cols += [pa.array([f[j] for f in figures], pa.int64()) for j in range(3)]
-            yield pa.RecordBatch.from_arrays(cols, [*names, "n_lines", "lines_removed", "words_removed"])
+                cols = [pa.array(texts, pa.string()) if c == "text" else batch[c].slice(first, last - first) for c in names]
+                cols += [pa.array([f[j] for f in figures], pa.int64()) for j in range(3)]
+                yield pa.RecordBatch.from_arrays(cols, [*names, "n_lines", "lines_removed", "words_removed"])
 
     fields = [docs.schema[c] for c in names] + [T.StructField(c, T.LongType()) for c in ("n_lines", "lines_removed", "words_removed")]
     return docs.mapInArrow(run, T.StructType(fields))

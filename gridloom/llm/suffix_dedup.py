@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textkit as tk
 from .counting import count
-from .store import Scratch
+from .store import Scratch, Shared
 
 PASSAGE, SEED = 50, 20
 
@@ -67,12 +67,12 @@ def repeats(docs: DataFrame, scratch: Scratch, passage: int = PASSAGE, seed: int
     """(doc_id, start, stop): the word ranges that go; they may overlap."""
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     spark = docs.sparkSession
-    found = spark.sparkContext.broadcast(count(docs.select("text"), lambda batch: (x[3] for x in _suffixes(batch, passage, seed))))
+    found = Shared(spark, count(docs.select("text"), lambda batch: (x[3] for x in _suffixes(batch, passage, seed))))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, h, bounds, g, at, n in _suffixes(batch, passage, seed):
-                keep = found.value.again(g)
+                keep = found.get().again(g)
                 g, at, n = g[keep], at[keep], n[keep]
                 # The hash of a whole span from those of its windows, and how many they are.
                 windows = np.repeat(at - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
@@ -96,13 +96,13 @@ def repeats(docs: DataFrame, scratch: Scratch, passage: int = PASSAGE, seed: int
     whole = whole.select("doc_id", after(F.col("first.place")).alias("start"), (F.col("place") + F.col("n") - 1 + passage).alias("stop"))
 
     many = per.where("k > 1").select("g")
-    varied = spark.sparkContext.broadcast(count(many, lambda batch: iter([np.repeat(batch["g"].to_numpy().view(np.uint64), 2)])))
+    varied = Shared(spark, count(many, lambda batch: iter([np.repeat(batch["g"].to_numpy().view(np.uint64), 2)])))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, h, bounds, g, at, n in _suffixes(batch, passage, seed):
-                keep = found.value.again(g)
-                keep[keep] = varied.value.again(g[keep])
+                keep = found.get().again(g)
+                keep[keep] = varied.get().again(g[keep])
                 g, at, n = g[keep], at[keep], n[keep]
                 where = np.repeat(at - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
                 w = tk.grams(h, passage)[where] if len(where) else np.zeros(0, np.uint64)
@@ -136,8 +136,8 @@ def dedup_passages(docs: DataFrame, scratch: Scratch, passage: int = PASSAGE, se
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, figures, spans = [], [], []
             for first, last, data, offsets in tk.pieces(batch):
+                texts, figures, spans = [], [], []
                 ws, we, _, bounds = tk.words(data, offsets)
                 for k in range(last - first):
                     a, b = int(bounds[k]), int(bounds[k + 1])
@@ -152,9 +152,9 @@ def dedup_passages(docs: DataFrame, scratch: Scratch, passage: int = PASSAGE, se
                     texts.append(b"".join(data[s:e].tobytes() for s, e in zip(cut[::2], cut[1::2])).decode())
                     figures.append((b - a, int((hi - lo).sum())))
                     spans.append(np.stack([lo, hi], axis=1).tolist())
-            cols = [pa.array(texts, pa.string()) if c == "text" else batch[c] for c in names]
-            cols += [pa.array([f[j] for f in figures], pa.int64()) for j in range(2)] + [pa.array(spans, pa.list_(pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays(cols, [*names, "n_words", "n_removed", "spans"])
+                cols = [pa.array(texts, pa.string()) if c == "text" else batch[c].slice(first, last - first) for c in names]
+                cols += [pa.array([f[j] for f in figures], pa.int64()) for j in range(2)] + [pa.array(spans, pa.list_(pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays(cols, [*names, "n_words", "n_removed", "spans"])
 
     fields = [docs.schema[c] for c in names] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))]
     return joined.mapInArrow(run, T.StructType(fields))

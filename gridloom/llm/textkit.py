@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 
 
