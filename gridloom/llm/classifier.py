@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import textkit as tk
-from .store import Scratch
+from .store import Scratch, Shared
 
 ROWS, DIM, WINDOW, HIDDEN = 1 << 14, 32, 2, 24
 #: Labelled rows that the network is fitted on, at most (those whose id hashes lowest).
@@ -184,12 +184,12 @@ def fit(feats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
 def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each document."""
     feats = scratch.table(features(docs, context_vectors(docs, scratch)), "features", wide=True)
-    net = docs.sparkSession.sparkContext.broadcast(fit(feats, labels))
+    net = Shared(docs.sparkSession, fit(feats, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch["x"].flatten().to_numpy().reshape(-1, DIM + SURFACE).astype(np.float64)
-            s = net.value.score(x)
+            s = net.get().score(x)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     held = feats.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "x")

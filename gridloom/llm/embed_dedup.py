@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import components
-from .store import Scratch
+from .store import Scratch, Shared
 
 COSINE, TREES, LEAF, SPILL = 0.95, 10, 256, 0.06
 #: Vectors that the trees are fitted on, at most (those that hash lowest). Every vector is routed.
@@ -128,12 +128,12 @@ def _leaf_rows(classes: DataFrame, trees: int, leaf: int, spill: float, sample:
         own = classes.where(F.size("v") == size).select("rep", "n", "v")
         first = own.orderBy(F.xxhash64("v"), "rep").limit(sample).select("v").toPandas()
         x = np.stack(first["v"].to_numpy())
-        forest = spark.sparkContext.broadcast(Forest(x / np.linalg.norm(x, axis=1, keepdims=True), total, trees, leaf, spill))
+        forest = Shared(spark, Forest(x / np.linalg.norm(x, axis=1, keepdims=True), total, trees, leaf, spill))
 
         def route(batches: Iterator[pa.RecordBatch], forest=forest, size=size) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = batch["v"].flatten().to_numpy().reshape(-1, size)
-                who, code = forest.value.leaves(x / np.linalg.norm(x, axis=1, keepdims=True))
+                who, code = forest.get().leaves(x / np.linalg.norm(x, axis=1, keepdims=True))
                 order = np.lexsort((code, who))
                 who, code = who[order], code[order]
                 at = np.searchsorted(who, np.arange(len(x) + 1))
