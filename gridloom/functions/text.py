@@ -65,10 +65,13 @@ def gs1_ok(digits: Column) -> Column:
     return F.coalesce(F.when(digits.rlike(r"^\d{2,}$"), (10 - total % 10) % 10 == F.substr(digits, n, F.lit(1)).try_cast("int")), F.lit(False))
 
 
+def bare_digits(text: Column) -> Column:
+    return F.when(text.rlike(r"[^\d\s\-]"), F.lit("")).otherwise(F.regexp_replace(text, r"[\s\-]", ""))
+
+
 def normalize_ean(c: Column) -> Column:
     """Digits of a printed barcode; empty if anything but digits, spaces and hyphens is there."""
-    text = clean_text(c)
-    return F.when(text.rlike(r"[^\d\s\-]"), F.lit("")).otherwise(F.regexp_replace(text, r"[\s\-]", ""))
+    return let(clean_text(c), bare_digits)
 
 
 #: What a comparison takes as missing; fixed values.
@@ -90,8 +93,8 @@ def as_number(c: Column) -> Column:
 
 def values_equal(a: Column, b: Column) -> Column:
     """Equal keys, or equal numbers; a bare amount equals itself in another currency or in percent."""
-    x, y = as_number(compare_key(a)), as_number(compare_key(b))
-    return (compare_key(a) == compare_key(b)) | F.coalesce(x == y, F.lit(False))
+    same = lambda x, y: (x == y) | F.coalesce(as_number(x) == as_number(y), F.lit(False))
+    return let(compare_key(a), lambda x: let(compare_key(b), lambda y: same(x, y)))
 
 
 def sheet_safe(c: Column) -> Column:

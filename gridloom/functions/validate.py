@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, functions as F
 
 from .profile import ACTIVE, Profile
-from .text import clean_text, gs1_ok, is_blank, let, normalize_ean, quoted, strip_image_artifacts
+from .text import bare_digits, clean_text, gs1_ok, is_blank, let, quoted, strip_image_artifacts
 
 ISSUE = "struct<column:string,code:string,message:string,value:string>"
 
@@ -17,8 +17,7 @@ def issue(column: str, code: str | Column, message: str | Column, value: Column)
     return F.struct(F.lit(column).alias("column"), text(code).alias("code"), text(message).alias("message"), value.alias("value"))
 
 
-def code_issue(c: Column, p: Profile = ACTIVE) -> Column:
-    text = clean_text(c)
+def _code_issue(text: Column, p: Profile) -> Column:
     found = F.length(F.regexp_replace(text, r"\D", "")).cast("string")
     digits = F.concat(F.lit("Midas Code must be M + 6 digits, found "), found, F.lit(" digits"))
     return (
@@ -28,62 +27,68 @@ def code_issue(c: Column, p: Profile = ACTIVE) -> Column:
     )
 
 
-def barcode_issue(c: Column, p: Profile = ACTIVE) -> Column:
-    text, digits = clean_text(c), normalize_ean(c)
+def _barcode_issue(text: Column, p: Profile) -> Column:
     bad = lambda m: issue("EAN Barcode", "bad_ean", m, text)
-    return (
-        F.when(text == "", issue("EAN Barcode", "blank_ean", "EAN Barcode is blank", F.lit("")))
-        .when(digits == "", bad("barcode contains non-digit characters"))
-        .when(~F.length(digits).isin(*p.barcode_lengths), bad(F.concat(F.length(digits).cast("string"), F.lit(" digits is not a valid barcode length"))))
-        .when(~gs1_ok(digits), bad("GS1 check digit does not match"))
-    )
+
+    def check(digits: Column) -> Column:
+        return (
+            F.when(digits == "", bad("barcode contains non-digit characters"))
+            .when(~F.length(digits).isin(*p.barcode_lengths), bad(F.concat(F.length(digits).cast("string"), F.lit(" digits is not a valid barcode length"))))
+            .when(~gs1_ok(digits), bad("GS1 check digit does not match"))
+        )
+
+    return F.when(text == "", issue("EAN Barcode", "blank_ean", "EAN Barcode is blank", F.lit(""))).otherwise(let(bare_digits(text), check))
 
 
 def is_deal(text: Column, p: Profile = ACTIVE) -> Column:
     return text.rlike(p.deal)
 
 
-def deal_fix(c: Column, p: Profile = ACTIVE) -> Column:
-    """The deal with confused words replaced; null unless that makes it a deal."""
-    text = clean_text(c)
+def _fixed_deal(text: Column, p: Profile) -> Column:
     words = F.create_map(*[F.lit(x) for kv in p.confused_words.items() for x in kv])
     fixed = F.array_join(F.transform(F.split(text, " "), lambda w: F.coalesce(F.try_element_at(words, F.upper(w)), w)), " ")
-    return F.when((text != "") & (fixed != text) & is_deal(fixed, p), fixed)
+    return let(fixed, lambda x: F.when((text != "") & (x != text) & is_deal(x, p), x))
+
+
+def deal_fix(c: Column, p: Profile = ACTIVE) -> Column:
+    """The deal with confused words replaced; null unless that makes it a deal."""
+    return let(clean_text(c), lambda text: _fixed_deal(text, p))
 
 
 def _foreign(text: Column, p: Profile) -> Column:
     return text.rlike("[" + "".join("\\" + s if s == "$" else s for s in p.foreign_symbols) + "]")
 
 
-def deal_issue(c: Column, p: Profile = ACTIVE) -> Column:
-    text, hint = clean_text(c), deal_fix(c, p)
-    extra = F.when(hint.isNotNull(), F.concat(F.lit("; did you mean "), quoted(hint), F.lit("?"))).otherwise("")
+def _deal_issue(text: Column, p: Profile) -> Column:
+    extra = lambda hint: F.when(hint.isNotNull(), F.concat(F.lit("; did you mean "), quoted(hint), F.lit("?"))).otherwise("")
     bad = lambda code, m: issue("Consumer Deal", code, m, text)
     return (
         F.when(text == "", issue("Consumer Deal", "blank_deal", "Consumer Deal is blank", F.lit("")))
         .when(_foreign(text, p), bad("wrong_currency", "deal contains a non-GBP currency symbol"))
         .when(is_deal(text, p), None)
-        .when(text.rlike(r"(?i)\bPOR\b"), bad("deal_keyword", F.concat(F.lit("'POR' is not valid deal wording (OCR confusion of 'FOR')"), extra)))
+        .when(text.rlike(r"(?i)\bPOR\b"), bad("deal_keyword", F.concat(F.lit("'POR' is not valid deal wording (OCR confusion of 'FOR')"), let(_fixed_deal(text, p), extra))))
         .otherwise(bad("bad_deal", "deal text does not match any known deal wording"))
     )
 
 
 def cell_issue(column: str, c: Column, p: Profile = ACTIVE) -> Column:
     """What is wrong with one cell, null if nothing. A blank is wrong in the key column only."""
-    none = F.lit(None).cast(ISSUE)
     if column == "Midas Code":
-        return code_issue(c, p)
+        return let(clean_text(c), lambda text: _code_issue(text, p))
     if column == "EAN Barcode":
-        return F.when(~is_blank(c), barcode_issue(c, p))
+        return F.when(~is_blank(c), let(clean_text(c), lambda text: _barcode_issue(text, p)))
     if column == "Consumer Deal":
-        return F.when(~is_blank(c), deal_issue(c, p))
+        return F.when(~is_blank(c), let(clean_text(c), lambda text: _deal_issue(text, p)))
     if column not in p.column_patterns:
-        return none
-    text = clean_text(c)
-    out = F.when(is_blank(c), none)
-    if column in ("Prom WSP", "Std RSP"):
-        out = out.when(_foreign(text, p), issue(column, "wrong_currency", f"only '{p.currency}' is valid in this document", text))
-    return out.when(~text.rlike(f"^{p.column_patterns[column]}$"), issue(column, "bad_format", "value does not match the expected format", text))
+        return F.lit(None).cast(ISSUE)
+
+    def match(text: Column) -> Column:
+        wrong = F.when(~text.rlike(f"^{p.column_patterns[column]}$"), issue(column, "bad_format", "value does not match the expected format", text))
+        if column in ("Prom WSP", "Std RSP"):
+            return F.when(_foreign(text, p), issue(column, "wrong_currency", f"only '{p.currency}' is valid in this document", text)).otherwise(wrong)
+        return wrong
+
+    return F.when(~is_blank(c), let(clean_text(c), match))
 
 
 def row_issues(cells: Mapping[str, Column], p: Profile = ACTIVE) -> Column:
@@ -104,7 +109,7 @@ def corrected(column: str, c: Column, p: Profile = ACTIVE) -> Column:
         out = F.regexp_replace(text, r"\$(?=\d)", p.currency) if column in p.currency_columns else text
         if column != "Consumer Deal":
             return out
-        return let(out, lambda x: F.when(x.rlike(r"(?i)\bPOR\b"), F.coalesce(deal_fix(x, p), x)).otherwise(x))
+        return let(out, lambda x: F.when(x.rlike(r"(?i)\bPOR\b"), F.coalesce(_fixed_deal(x, p), x)).otherwise(x))
 
     def result(text: Column, fixed: Column) -> Column:
         good = (text != "") & (fixed != text) & cell_issue(column, fixed, p).isNull()

@@ -13,7 +13,6 @@ from ..operators.rows import classify, realign_tail
 from ..operators.tables import holds_codes, inherit_schema, product_tables, promote_header, table_rows
 from ..sources import pages as src
 
-NO_FLAGS = F.array().cast("array<string>")
 STRUCTURE = ("heading", "banner")
 
 
@@ -29,14 +28,14 @@ def clean_rows(rows: DataFrame, p: Profile = ACTIVE) -> tuple[DataFrame, DataFra
     Classify, realign, fill merged groups, then realign tails, in this order: a blank that a span
     covers is no sign of a slide.
     """
-    kinds = classify(rows, p)
+    kinds = classify(rows, p).persist()
     aligned = fill_groups(kinds.where(F.col("kind").isin("product", "realigned")), ["doc", "table_index"], p)
     tail = F.when(F.col("kind") == "product", realign_tail(F.col("columns"), F.col("values"), p))
     aligned = aligned.withColumn("_tail", tail).withColumn("repaired", (F.col("kind") == "realigned") | F.col("_tail").isNotNull())
     aligned = aligned.withColumn("values", F.coalesce("_tail", "values")).drop("_tail")
     out = cells_of(F.col("columns"), F.col("values"), p)
     out["Leaflet"] = F.lit(None).cast("string")  # an icon: what was read there is no text
-    return _as_rows(aligned, out, NO_FLAGS), kinds.where(~F.col("kind").isin("product", "realigned"))
+    return _as_rows(aligned, out, F.array().cast("array<string>")), kinds.where(~F.col("kind").isin("product", "realigned"))
 
 
 def _as_rows(df: DataFrame, cells: dict[str, Column], flags: Column) -> DataFrame:
@@ -71,16 +70,16 @@ def extract(spark: SparkSession, folder: str, p: Profile = ACTIVE, corrections:
     pages, sides = src.read_pages(spark, folder), src.read_sidecars(spark, folder)
     tables = rec.covered(inherit_schema(promote_header(src.read_tables(pages)), p), sides).persist()
     products = product_tables(tables, p)
-    rows = table_rows(products, p)
+    rows = table_rows(products, p).persist()
     aligned, left = clean_rows(rows.where(~F.col("covered")), p)
     ocr = fin.finalize(aligned, p, corrections).withColumn("source_rank", F.lit(0)).persist()
     geometry = fin.finalize(rec.geometry_rows(sides, p), p, corrections).withColumn("source_rank", F.lit(1)).persist()
     out = [*p.output_columns, *fin.META, "source_rank", "table_index", "row_idx"]
     quoted = [f"`{c}`" for c in out]
     done = ocr.select(*quoted, "issues", "blocking", "corrections").unionByName(geometry.select(*quoted, "issues", "blocking", "corrections"))
-    kept = fin.kept(done).select(*quoted)
+    kept = fin.kept(done).select(*quoted).persist()
     early = early_review(left, p).withColumn("source_rank", F.lit(0))
-    review = fin.review(done).select(*quoted, "reason", "issue_codes").unionByName(early.select(*quoted, "reason", "issue_codes"))
+    review = fin.review(done).select(*quoted, "reason", "issue_codes").unionByName(early.select(*quoted, "reason", "issue_codes")).persist()
 
     said = lambda page, column, note, code=F.lit(""), value=F.lit(""): [page.cast("string").alias("page"), code.alias("midas"), F.lit(column).alias("column") if isinstance(column, str) else column.alias("column"), value.alias("pdf_geometry_value"), note.alias("ocr_value_or_note")]
     name = F.concat(F.lit("table-"), F.col("table_index").cast("string"))
@@ -96,7 +95,7 @@ def extract(spark: SparkSession, folder: str, p: Profile = ACTIVE, corrections:
     checks = rec.cross_check(g, read.withColumn("ord", F.lit(0)), p)
     audit = audit.unionByName(checks.select(*said(F.col("page"), F.col("column"), F.col("vlm"), F.col("midas"), F.col("geometry"))))
     by_page = rec.integrity_by_page(rec.source_codes(pages), sides, kept.unionByName(review.select(*quoted))).persist()
-    proof = rec.integrity(by_page, kept, review)
+    proof = rec.integrity(by_page, kept, review).persist()
     lost = by_page.where(F.size("lost") > 0)
     audit = audit.unionByName(lost.select(*said(F.col("page"), "(MISSING ROWS)", F.concat(F.size("lost").cast("string"), F.lit(" product(s) present in the source are absent from the output")), F.array_join("lost", ","))))
     audit = audit.unionByName(proof.select(F.explode("warnings").alias("w")).select(*said(F.lit(""), "(integrity)", F.col("w"))))
