@@ -28,10 +28,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Bytes of a batch that goes to Python, at most: it is held several times on both sides.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Scratch:
     """Parquet tables of one run. Writing one cuts lineage, and any executor can read it again."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def table(self, df: DataFrame, name: str, wide: bool = False) -> DataFrame:
