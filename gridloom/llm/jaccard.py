@@ -230,7 +230,8 @@ def links(docs: DataFrame, scratch: Scratch, k: int = K, percent: int = PERCENT)
     scratch.drop("profile", "lists", "mixed", "keyed", "first", "lead")
 
     # A block holds the entries of a list with about the same size; a set looks only at its own block and those
-    # that sizes allow, and skips entries whose places leave too little to share.
+    # that sizes allow, and skips entries whose places leave too little to share.  Two lone sets share at most what
+    # stands behind an entry and what precedes it; only their first common entry leaves room for all that they share.
     step = np.log(100 / percent)
     lists = lists.withColumn("b0", F.floor(F.log(F.col("n0")) / step)).withColumn("b1", F.floor(F.log(F.col("n1")) / step))
     held = ["star", "n0", "n1", "p0", "alone", "b0", *[f"f{w}" for w in range(WORDS)]]
@@ -238,19 +239,20 @@ def links(docs: DataFrame, scratch: Scratch, k: int = K, percent: int = PERCENT)
     right = lists.select("shingle", F.explode(F.sequence("b0", "b1")).alias("block"), *[F.col(c).alias(f"b_{c}") for c in held])
     fits = (percent * F.col("a_n0") <= 100 * F.col("b_n1")) & (percent * F.col("b_n0") <= 100 * F.col("a_n1"))
     room = F.least(F.col("a_n1") - F.col("a_p0"), F.col("b_n1") - F.col("b_p0"))
+    ahead = F.when(F.col("a_alone") & F.col("b_alone"), F.least("a_p0", "b_p0")).otherwise(0)
     need = percent * (F.col("a_n0") + F.col("b_n0"))  # both * (100 + percent) >= percent * (n + n')
     once = F.col("block") == F.greatest(F.col("a_b0") - 1, F.col("b_b0"))  # the first block that both are in
     # Two lone sets differ in as many shingles, at least, as their parities differ in bits.
     size = F.col("a_n0") + F.col("b_n0")
     apart = sum((F.bit_count(F.col(f"a_f{w}").bitwiseXOR(F.col(f"b_f{w}"))) for w in range(WORDS)), F.lit(0))
     close = ~(F.col("a_alone") & F.col("b_alone")) | (apart <= size - 2 * F.ceil(percent * size / (100 + percent)))
-    met = left.join(right, ["shingle", "block"]).where((F.col("a_star") < F.col("b_star")) & once & fits & ((100 + percent) * room >= need) & close)
+    met = left.join(right, ["shingle", "block"]).where((F.col("a_star") < F.col("b_star")) & once & fits & ((100 + percent) * (ahead + room) >= need) & close)
     cand = met.groupBy(F.col("a_star").alias("u"), F.col("b_star").alias("v")).agg(
-        F.count("*").alias("shared"), F.first(F.col("a_alone") & F.col("b_alone")).alias("alone"), F.min("a_n0").alias("na"), F.min("b_n0").alias("nb")
+        F.count("*").alias("shared"), F.max(room).alias("room"), F.first(F.col("a_alone") & F.col("b_alone")).alias("alone"), F.min("a_n0").alias("na"), F.min("b_n0").alias("nb")
     )
     # Two lone sets share at most what their prefixes share and what stands behind one prefix.
     behind = lambda n: F.floor((percent * F.col(n) + 99) / 100) - 1
-    enough = (100 + percent) * (F.col("shared") + F.greatest(behind("na"), behind("nb"))) >= percent * (F.col("na") + F.col("nb"))
+    enough = (100 + percent) * F.least("room", F.col("shared") + F.greatest(behind("na"), behind("nb"))) >= percent * (F.col("na") + F.col("nb"))
     cand = scratch.table(cand.where(~F.col("alone") | enough).select("u", "v"), "pairs")
     centre = _compare(cand, docs, scratch, "pairs", k).select("u", "v", linked.alias("linked"), (1 - F.col("both") / F.col("any")).alias("d"))
     centre = scratch.table(centre, "centre")

@@ -1,3 +1,5 @@
+import random
+
 import brute
 import numpy as np
 import pytest
@@ -26,6 +28,22 @@ def test_near_duplicates_in_blocks(docs, rows, scratch, monkeypatch):
     assert {i: r["component_id"] for i, r in got.items()} == brute.near_duplicates([(r[0], r[1]) for r in rows])[0]
 
 
+def test_near_duplicates_that_no_star_joins(spark, scratch):
+    """B and C are linked; A, of smaller id and linked to neither, takes the lead of many keys that they share."""
+    rng, rows = random.Random(8), []
+    for _ in range(300):
+        b = [f"w{rng.randrange(10**9)}" for _ in range(104)]
+        for edits in ((10, 30, 50, 70), (), (20, 60)):
+            w = list(b)
+            for k in edits:
+                w[k + rng.randrange(8)] = f"w{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(w)))
+    want = brute.near_duplicates(rows)[0]
+    assert sum(want[i] != i for i in want) == 300
+    got = by_id(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), scratch))
+    assert {i: r["component_id"] for i, r in got.items()} == want
+
+
 def test_repeated_and_null_ids(spark, scratch):
     text = " ".join(f"w{k}" for k in range(60))
     df = spark.createDataFrame([(1, text, "s"), (1, text, "s"), (None, text, "s"), (2, text + " more", "s"), (None, None, None)], "doc_id long, text string, source string")
