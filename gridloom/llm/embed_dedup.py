@@ -6,6 +6,11 @@ every class.  Within a leaf all cosines are computed in double precision, in blo
 meets in several leaves counts in the first of them only, so links are counted without listing
 pairs: a leaf gives one row per vector, its links there and the smallest vector it reaches there.
 
+Groups larger than a leaf would be cut through their middle, so they do not go through the trees:
+sample vectors with many links become pivots, and a vector near a pivot is its host.  Each host is
+compared, in blocks, with all vectors that it can link with by the angles to its pivot (guests), so
+all links of a host are found.  Only vectors near no pivot are routed.
+
 Vectors that are null, zero, or hold null or non-finite components link with nothing, and no
 vector links with one of another length.  Repeated rows are vectors of their own.
 """
@@ -26,6 +31,10 @@ COSINE, TREES, LEAF, SPILL = 0.95, 10, 256, 0.06
 SAMPLE = 40_000
 MAX_DEPTH = 13
 BLOCK = 1024
+#: Hosts are nearer to their pivot than this many times the angle of a link.
+REACH = 1.5
+#: Hosts, and guests, of a pivot that meet in one task, about.
+CELL = 8192
 
 
 class Forest:
@@ -101,6 +110,104 @@ def _leaf_links(ids: np.ndarray, weight: np.ndarray, x: np.ndarray, code: int, m
         label = new
 
 
+def _angle(cosine: float) -> float:
+    return float(np.arccos(np.clip(cosine, -1, 1)))
+
+
+def _pivots(x: np.ndarray, total: int, leaf: int, cosine: float) -> np.ndarray:
+    """Vectors of the sample with about as many links as a quarter of a leaf holds, none near another."""
+    many = max(4, max(leaf, total >> MAX_DEPTH) * len(x) // total // 4)
+    near, rough = np.cos(min(np.pi, REACH * _angle(cosine))), x.astype(np.float32)
+    found, free = [], np.ones(len(x), bool)
+    for at in range(0, len(x), 256):
+        rows = at + np.flatnonzero(free[at : at + 256])
+        links = (rough[rows] @ rough.T >= cosine).sum(axis=1) - 1
+        for k in np.argsort(-links, kind="stable"):
+            if links[k] >= many and free[rows[k]]:
+                found.append(rows[k])
+                free &= x @ x[rows[k]] < near
+    return x[found]
+
+
+def _join(bits: np.ndarray, back: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id that each of ``a`` and of ``b`` reaches over links between them (bits: a row per a; back: per b)."""
+    root_a, root_b, done = a.copy(), b.copy(), np.zeros(len(a), bool)
+    for start in np.flatnonzero(bits.any(axis=1)):
+        if done[start]:
+            continue
+        in_a, in_b, front = np.zeros(len(a), bool), np.zeros(len(b), bool), np.array([start])
+        while len(front):
+            in_a[front] = True
+            new = np.unpackbits(np.bitwise_or.reduce(bits[front], axis=0), count=len(b)).astype(bool) & ~in_b
+            in_b |= new
+            front = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(back[new], axis=0), count=len(a)).astype(bool) & ~in_a)
+        root_a[in_a] = root_b[in_b] = min(a[in_a].min(), b[in_b].min())
+        done |= in_a
+    return root_a, root_b
+
+
+def _cell_links(left: pa.Table, right: pa.Table, cosine: float) -> pa.Table:
+    """Rows (rep, root, links) of a block of hosts and one of guests; guests that are hosts themselves count their links there."""
+    if not left.num_rows or not right.num_rows:
+        return pa.table({c: pa.array([], pa.int64()) for c in ("rep", "root", "links")})
+    (a, na, ka, xa), (b, nb, kb, xb) = [(t["rep"].to_numpy(), t["n"].to_numpy(), t["k1"].to_numpy(), np.stack(t["v"].to_numpy())) for t in (left, right)]
+    xa, xb = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (xa, xb))
+    ours, theirs, bits, back = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64), [], []
+    for at in range(0, len(a), BLOCK):
+        own = slice(at, at + BLOCK)
+        close = (xa[own] @ xb.T >= cosine) & (ka[own, None] != kb[None, :])
+        bits.append(np.packbits(close, axis=1))
+        back.append(np.packbits(close.T, axis=1))
+        close = close.astype(np.float64)
+        ours[own] = close @ nb
+        theirs += (na[own] @ close).astype(np.int64)
+    theirs[right["hot"].to_numpy()] = 0
+    root_a, root_b = _join(np.concatenate(bits), np.concatenate(back, axis=1), a, b)
+    ids, root, links = np.concatenate([a, b]), np.concatenate([root_a, root_b]), np.concatenate([ours, theirs])
+    some = (links > 0) | (root != ids)
+    return pa.table({"rep": ids[some], "root": root[some], "links": links[some]})
+
+
+def _dense_rows(own: DataFrame, pivots: np.ndarray, cosine: float, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Rows of all links that a host has, and the number of hosts."""
+    held, size = Shared(own.sparkSession, pivots), pivots.shape[1]
+    host, guest = (np.cos(min(np.pi, k * _angle(cosine) + e)) for k, e in ((REACH, 0), (REACH + 1, 1e-6)))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 2000):
+                batch = whole.slice(at, 2000)
+                x = batch["v"].flatten().to_numpy().reshape(-1, size)
+                p = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ held.get().T
+                best = p.argmax(axis=1)
+                hot = p[np.arange(len(p)), best] >= host
+                hosts = np.flatnonzero(hot)
+                who, at_pivot = np.nonzero(p >= guest)
+                rows, side = np.concatenate([hosts, who]), np.arange(len(hosts) + len(who)) < len(hosts)
+                cols = [batch[c].take(pa.array(rows)) for c in ("rep", "n", "v", "k1")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate([best[hosts], at_pivot])), pa.array(hot[rows]), pa.array(side)], ["rep", "n", "v", "k1", "pivot", "hot", "host"])
+
+    placed = own.mapInArrow(place, "rep long, n long, v array<double>, k1 long, pivot long, hot boolean, host boolean")
+    placed = scratch.table(placed, f"dense{size}", wide=True)
+    sizes = placed.groupBy("pivot").agg(F.count_if("host").alias("hosts"), F.count_if(~F.col("host")).alias("guests"))
+    sizes = scratch.table(sizes, f"dense-sizes{size}")
+    count = sizes.agg(F.sum("hosts")).first()[0] or 0
+    cells = sizes.select("pivot", F.ceil(F.col("hosts") / CELL).alias("p"), F.ceil(F.col("guests") / CELL).alias("q")).where("p > 0")
+    both = placed.join(F.broadcast(cells), "pivot")
+    i, j = (F.pmod(F.xxhash64("k1", F.lit(1)), F.col(c)) for c in "pq")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    hosts = both.where("host").select("pivot", i.alias("i"), every("q").alias("j"), "rep", "n", "k1", "v")
+    guests = both.where(~F.col("host")).select("pivot", every("p").alias("i"), j.alias("j"), "rep", "n", "k1", "hot", "v")
+    names = guests.columns
+    guests = guests.toDF(*[f"g_{c}" for c in names])
+
+    def link(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _cell_links(left, right.rename_columns(names), cosine)
+
+    rows = hosts.groupBy("pivot", "i", "j").cogroup(guests.groupBy("g_pivot", "g_i", "g_j")).applyInArrow(link, "rep long, root long, links long")
+    return rows, count
+
+
 def near_duplicates(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, sample: int = SAMPLE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding)."""
     v = F.col("embedding")
@@ -111,7 +218,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE
     base = scratch.table(base.withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")}), "base", wide=True)
     classes = base.where("v is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("v").alias("v"))
     classes = scratch.table(classes, "classes", wide=True)
-    found = scratch.table(_leaf_rows(classes, trees, leaf, spill, sample, cosine), "found")
+    found = scratch.table(_link_rows(classes, scratch, trees, leaf, spill, sample, cosine), "found")
     labels = components(found.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")), scratch)
     total = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = classes.select("k1", "k2", "rep", "n").join(total, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
@@ -122,18 +229,33 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _leaf_rows(classes: DataFrame, trees: int, leaf: int, spill: float, sample: int, cosine: float) -> DataFrame:
+def _link_rows(classes: DataFrame, scratch: Scratch, trees: int, leaf: int, spill: float, sample: int, cosine: float) -> DataFrame:
     spark, out = classes.sparkSession, None
     for size, total in classes.groupBy(F.size("v").alias("d")).count().collect():  # a row per vector length
-        own = classes.where(F.size("v") == size).select("rep", "n", "v")
+        own = classes.where(F.size("v") == size).select("rep", "n", "k1", "v")
         first = own.orderBy(F.xxhash64("v"), "rep").limit(sample).select("v").toPandas()
         x = np.stack(first["v"].to_numpy())
-        forest = Shared(spark, Forest(x / np.linalg.norm(x, axis=1, keepdims=True), total, trees, leaf, spill))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        pivots, near = _pivots(x, total, leaf, cosine), np.cos(min(np.pi, REACH * _angle(cosine)))
+        if len(pivots):
+            rows, hosts = _dense_rows(own, pivots, cosine, scratch)
+            out = rows if out is None else out.unionAll(rows)
+            total -= hosts
+            x = x[(x @ pivots.T).max(axis=1) < near]
+        if not total:
+            continue
+        x = x if len(x) else pivots[:1]
+        forest = Shared(spark, (Forest(x, total, trees, leaf, spill), pivots))
 
-        def route(batches: Iterator[pa.RecordBatch], forest=forest, size=size) -> Iterator[pa.RecordBatch]:
+        def route(batches: Iterator[pa.RecordBatch], forest=forest, size=size, near=near) -> Iterator[pa.RecordBatch]:
+            fitted, pivots = forest.get()
             for batch in batches:
                 x = batch["v"].flatten().to_numpy().reshape(-1, size)
-                who, code = forest.get().leaves(x / np.linalg.norm(x, axis=1, keepdims=True))
+                if len(pivots):
+                    p = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ pivots.T
+                    batch = batch.filter(pa.array(p.max(axis=1) < near))
+                    x = batch["v"].flatten().to_numpy().reshape(-1, size)
+                who, code = fitted.leaves(x / np.linalg.norm(x, axis=1, keepdims=True))
                 order = np.lexsort((code, who))
                 who, code = who[order], code[order]
                 at = np.searchsorted(who, np.arange(len(x) + 1))

@@ -4,6 +4,7 @@ import random
 
 import brute
 import numpy as np
+import pytest
 
 from gridloom.llm import embed_dedup, warc
 from gridloom.llm.graph import components
@@ -56,6 +57,26 @@ def test_embeddings(spark, scratch):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("total", [3000, 12000])
+def test_embeddings_of_a_large_group(spark, scratch, monkeypatch, total):
+    """A third of the rows are distinct near copies, many of them just about linked; all their links count, at any size."""
+    monkeypatch.setattr(embed_dedup, "CELL", 700)
+    rng = np.random.default_rng(total)
+    x = rng.standard_normal((total, 64))
+    x[::3] = 8 * x[0] / np.linalg.norm(x[0]) + 0.22 * rng.standard_normal((len(x[::3]), 64))
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(df, scratch).collect()}
+    x = x.astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    close = x @ x.T >= 0.95
+    true = close.sum(axis=1) - 1
+    assert 0.3 < true.sum() / (total / 3) ** 2 < 0.95
+    assert [got[k]["n_links"] for k in range(total)] == true.tolist()
+    want = brute.components(range(total), zip(*(k.tolist() for k in np.nonzero(close))))
+    assert all(got[k]["component_id"] == want[k] for k in range(total))
+
+
 def test_no_vectors(spark, scratch):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"), scratch).count() == 0
 
