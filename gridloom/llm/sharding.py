@@ -1,12 +1,15 @@
 """Balanced label propagation over equal texts, in DataFrame operations only.
 
-Documents of equal text are linked.  Each starts in the shard its id hashes to; in every round
+Documents of equal text are linked.  Each starts in the shard its id hashes to.  Texts with more
+rows than a quarter of a shard's quota, few by construction, are laid out first, largest first: to
+the shard with room for all where most of their rows are, and cut only where no shard has that
+room.  Then, in every round
 the linked documents of a text propose to move, together, to the shard where most of their
 neighbours are, and a shard takes proposals, largest gain first, up to its quota.  What finds no
 room is laid out text by text over the capacity left, so that few texts are cut.
 
-Law ``rows``: shard counts are at most one apart.  A text with more rows than a quarter of a
-shard's quota is dealt into parts by doc_id first, as no shard could take it whole.
+Law ``rows``: shard counts are at most one apart.  Only a text that no shard can take whole is cut,
+at the room that is left, largest room first.
 Null texts count as empty; null ids and repeated rows are placed like others.
 """
 
@@ -32,6 +35,20 @@ def _running(df: DataFrame, keys: list[str], order: list[Column], weight: Column
     return df.withColumn("_in", inner).join(F.broadcast(before), [*keys, bucket]).withColumn(out, F.col("_in") + F.col("_before")).drop("_in", "_before")
 
 
+def _lay(near: dict[tuple, dict[int, int]], free: list[int]) -> list[tuple]:
+    """(*text, first, last, shard): rows of each text by rank, largest text first; ``free`` is what shards can take."""
+    out = []
+    for text, own in sorted(near.items(), key=lambda item: (-sum(item[1].values()), item[0])):
+        at, left = 0, sum(own.values())
+        while left:
+            fit = [s for s in range(len(free)) if free[s] >= left]
+            s = max(fit, key=lambda s: (own.get(s, 0), -s)) if fit else max(range(len(free)), key=lambda s: (free[s], own.get(s, 0), -s))
+            n = min(left, free[s])
+            out.append((*text, at + 1, at + n, s))
+            free[s], at, left = free[s] - n, at + n, left - n
+    return out
+
+
 def shard(docs: DataFrame, scratch: Scratch, shards: int = 24, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row of ``docs`` (doc_id, text)."""
     text = F.coalesce("text", F.lit(""))
@@ -41,16 +58,28 @@ def shard(docs: DataFrame, scratch: Scratch, shards: int = 24, rounds: int = ROU
     total = base.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     part = max(1, total // shards // 4)
+    rows = base.select("doc_id", *group, F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int").alias("label"), F.xxhash64(*group).alias("unit"))
     # At most 4 x shards texts (and a few more for rounding) have more rows than `part`.
-    large = base.groupBy(*group).count().where(F.col("count") > part).select(*group, F.ceil(F.col("count") / part).alias("parts"))
-    where = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts"))).cast("int")
-    rows = base.join(F.broadcast(large), group, "left").select("doc_id", *group, where.alias("part"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int").alias("label"))
-    rows = scratch.table(rows.withColumn("unit", F.xxhash64(*group, "part")), "rows")
+    large = scratch.table(base.groupBy(*group).count().where(F.col("count") > part).select(*group), "large")
+    near: dict[tuple, dict[int, int]] = {}
+    for r in rows.join(F.broadcast(large), group).groupBy(*group, "label").count().collect():  # a row per large text and shard
+        near.setdefault(tuple(r[c] for c in group), {})[r["label"]] = r["count"]
+    free = list(quota)
+    pieces, laid = _lay(near, free), None
+    if pieces:
+        names = [*group, "first", "last", "shard"]
+        where = docs.sparkSession.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).cast("int" if c == "shard" else "long").alias(c) for c, x in zip(names, p)]) for p in pieces])))
+        big = rows.join(F.broadcast(large), group).withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(BUCKETS)).cast("int"))
+        big = _running(big, group, [F.col("doc_id")], F.lit(1).cast("long"), "bucket", "rank")
+        laid = big.join(F.broadcast(where), group).where(F.col("rank").between(F.col("first"), F.col("last"))).select("doc_id", "unit", "size", "text_crc32", "shard")
+        laid = scratch.table(laid, "laid")
+        rows = rows.join(F.broadcast(large), group, "left_anti")
+    rows = scratch.table(rows, "rows")
 
     counts = rows.groupBy("unit", "label").agg(F.count("*").alias("n"))
     units = counts.groupBy("unit").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("n", "label")), False).alias("near")).where("n > 1")
     units = scratch.table(units, "units")
-    settled, load, made = None, [0] * shards, []
+    settled, load, made = None, [quota[s] - free[s] for s in range(shards)], []
     for k in range(rounds):
         free = [max(0, quota[s] - load[s]) for s in range(shards)]
         room = F.array(*[F.lit(x).cast("long") for x in free])
@@ -73,7 +102,8 @@ def shard(docs: DataFrame, scratch: Scratch, shards: int = 24, rounds: int = ROU
         if not sums:
             break
     settled = scratch.table(settled.select("unit", "shard"), "settled")
-    placed = scratch.table(rows.join(settled, "unit", "left").select("doc_id", "unit", "size", "text_crc32", "shard"), "placed")
+    placed = rows.join(settled, "unit", "left").select("doc_id", "unit", "size", "text_crc32", "shard")
+    placed = scratch.table(placed if laid is None else placed.unionByName(laid), "placed")
     load = [0] * shards
     for r in placed.where("shard is not null").groupBy("shard").count().collect():  # a row per shard
         load[r["shard"]] = r["count"]
@@ -87,5 +117,5 @@ def shard(docs: DataFrame, scratch: Scratch, shards: int = 24, rounds: int = ROU
     whole = placed.where("shard is not null").unionByName(rest.withColumn("shard", spot).select(placed.columns))
     whole = scratch.table(whole.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(BUCKETS)).cast("int")), "whole")
     ranked = _running(whole, ["shard"], [F.col("doc_id")], F.lit(1).cast("long"), "bucket", "rank")
-    scratch.drop("units", "settled", "rows", "base", *made)
+    scratch.drop("units", "settled", "rows", "laid", "large", "base", *made)
     return ranked.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -166,6 +166,27 @@ def test_sharding_of_one_text(spark, scratch):
     assert set(got.groupby("shard").size()) == {4, 5} and set(got["size"]) == {12}
 
 
+def test_sharding_keeps_large_groups_whole(spark, scratch):
+    """Groups from a quarter of the quota (100) up to it stay in one shard; a larger one is cut no more than it must be."""
+    sizes = [250, 100, 95, 80, 70, 60, 55, 50, 45, 40, 30, 26, 26, 5, 5, 2]
+    texts = [f"group {k}" for k, n in enumerate(sizes) for _ in range(n)]
+    texts += [f"alone {k}" for k in range(2400 - len(texts))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = by_id(sharding.shard(df, scratch))
+    counts, held = [0] * 24, {}
+    for i, text in enumerate(texts):
+        counts[got[i]["shard"]] += 1
+        held.setdefault(text, set()).add(got[i]["shard"])
+    assert len(got) == 2400 and counts == [100] * 24
+    assert [len(held[f"group {k}"]) for k in range(len(sizes))] == [3] + [1] * (len(sizes) - 1)
+
+
+def test_sharding_cuts_what_finds_no_room():
+    free = [10, 10, 10]
+    assert sharding._lay({("a",): {0: 3, 1: 4}, ("b",): {1: 7}, ("c",): {2: 6}, ("d",): {0: 5}}, free) == [("a", 1, 7, 1), ("b", 1, 7, 0), ("c", 1, 6, 2), ("d", 1, 4, 2), ("d", 5, 5, 0)]
+    assert free == [2, 3, 0]
+
+
 def test_bpe_round_trip(docs, rows):
     public = pytest.importorskip("public_tokenizers")
     path = public.path("word_bpe_49k.json")
