@@ -3,9 +3,9 @@
 A line is what stands between newlines, without white space at its ends; lines of fewer than
 ``min_words`` words never count.  Distinct sites per line hash are HyperLogLog sketches, merged
 by aggregation; lines whose estimate is near the threshold get an exact distinct count.  A
-document loses its boilerplate lines, newline included.  If they hold more than half of its
-words, it is a copy of another document rather than a carrier of boilerplate and stays whole,
-for the near-duplicate operators to judge.
+document loses its boilerplate lines, newline included, whatever share of it they are.  Only a
+document without a word outside them stays whole: nothing of it would be left, so it is a copy of
+other documents, for the near-duplicate operators to judge, and no carrier of boilerplate.
 
 A null source counts as the empty one, a null text stays null, and an empty one empty.
 """
@@ -72,7 +72,7 @@ def _strip(data: np.ndarray, offsets: np.ndarray, gone, min_words: int) -> Itera
     for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
         out = gone(h[a:b], k) & (h[a:b] != 0)
         cut = int(n[a:b][out].sum())
-        if not cut or 2 * cut > int(n[a:b].sum()):
+        if not cut or cut == int(n[a:b].sum()):
             yield None, b - a, 0, 0
         else:
             yield b"\n".join(data[s:e].tobytes() for s, e in zip(starts[a:b][~out].tolist(), ends[a:b][~out].tolist())), b - a, int(out.sum()), cut

@@ -67,7 +67,7 @@ w as (select *, regexp_replace(line, '^{_SPACE}|{_SPACE}$', '', 'g') as bare, le
 b as (select bare from w where n >= {linededup.MIN_WORDS} group by bare having count(distinct s) >= {linededup.MIN_SITES}),
 m as (select w.*, n >= {linededup.MIN_WORDS} and bare in (select bare from b) as gone from w),
 d as (select doc_id, count(*) as n_lines, count(*) filter (where gone) as k, coalesce(sum(n) filter (where gone), 0) as cut, sum(n) as total, string_agg(line, chr(10) order by i) filter (where not gone) as rest from m group by doc_id)
-select t.doc_id, n_lines, case when 2 * cut > total then 0 else k end as lines_removed, cast(case when 2 * cut > total then 0 else cut end as bigint) as words_removed, case when cut = 0 or 2 * cut > total then text else rest end as text from t join d using (doc_id)""",
+select t.doc_id, n_lines, case when cut = total then 0 else k end as lines_removed, cast(case when cut = total then 0 else cut end as bigint) as words_removed, case when cut = 0 or cut = total then text else rest end as text from t join d using (doc_id)""",
     "op7_warc_archive": f"""
 with p as (select page_id, coalesce(html, '') as h from pages),
 d as (select page_id, strlen(h) as n, sha1(h) as x, max(page_id) over (partition by h) as last from p)

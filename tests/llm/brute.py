@@ -83,5 +83,5 @@ def boilerplate(docs, sites=8, least=4):
         lines = (t or "").split("\n")
         cut = [bare(x) in gone for x in lines]
         n = sum(len(words(x)) for x, c in zip(lines, cut) if c)
-        out[i] = t if not n or 2 * n > len(words(t)) else "\n".join(x for x, c in zip(lines, cut) if not c)
+        out[i] = t if not n or n == len(words(t)) else "\n".join(x for x, c in zip(lines, cut) if not c)
     return out

@@ -81,6 +81,15 @@ def test_line_threshold_is_exact(spark, scratch):
     assert [got[k]["lines_removed"] for k in range(15)] == [0] * 7 + [1] * 8
 
 
+def test_short_documents_lose_boilerplate_too(spark, scratch):
+    """Most words of nine documents are boilerplate, all words of three; the three stay whole."""
+    line = "terms and conditions of the whole site apply to you here"
+    rows = [(k, line + ("\nown word %d" % k if k < 9 else ""), f"s{k}") for k in range(12)]
+    got = by_id(linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), scratch))
+    assert [got[k]["text"] for k in range(12)] == ["own word %d" % k for k in range(9)] + [line] * 3
+    assert [got[k]["lines_removed"] for k in range(12)] == [1] * 9 + [0] * 3
+
+
 def test_rule_features(docs, rows):
     got = by_id(quality_rules.features(docs))
     for r in rows:
