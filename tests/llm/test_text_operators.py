@@ -190,10 +190,39 @@ def test_sharding_keeps_large_groups_whole(spark, scratch):
     assert [len(held[f"group {k}"]) for k in range(len(sizes))] == [3] + [1] * (len(sizes) - 1)
 
 
-def test_sharding_cuts_what_finds_no_room():
-    free = [10, 10, 10]
-    assert sharding._lay({("a",): {0: 3, 1: 4}, ("b",): {1: 7}, ("c",): {2: 6}, ("d",): {0: 5}}, free) == [("a", 1, 7, 1), ("b", 1, 7, 0), ("c", 1, 6, 2), ("d", 1, 4, 2), ("d", 5, 5, 0)]
-    assert free == [2, 3, 0]
+def _sharded(spark, scratch, sizes, alone=0):
+    texts = [f"group {k}" for k, n in enumerate(sizes) for _ in range(n)] + [f"alone {k}" for k in range(alone)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got, held, counts = by_id(sharding.shard(df, scratch)), {}, [0] * 24
+    for i, text in enumerate(texts):
+        counts[got[i]["shard"]] += 1
+        held.setdefault(text, []).append(got[i]["shard"])
+    for i, text in enumerate(texts):
+        assert got[i]["cut_links"] == sum(s != got[i]["shard"] for s in held[text])
+    assert max(counts) - min(counts) <= 1
+    return [len(set(held[f"group {k}"])) for k in range(len(sizes))]
+
+
+def test_sharding_cuts_no_text_that_fits(spark, scratch):
+    """Two texts of half a quota for each shard; eight texts of an eighth and four rows of others."""
+    assert _sharded(spark, scratch, [50] * 48) == [1] * 48
+    assert _sharded(spark, scratch, [12] * 192, alone=96) == [1] * 192
+
+
+def test_sharding_cuts_what_finds_no_room(spark, scratch):
+    """Eight texts of 12 rows fill a shard of 100 up to four rows, so just eight of 200 are cut."""
+    assert sorted(_sharded(spark, scratch, [12] * 200)) == [1] * 192 + [3] * 8
+    assert sorted(_sharded(spark, scratch, [70] * 34, alone=20)) == [1] * 24 + [3] * 10
+
+
+def test_sharding_moves_with_current_labels(spark, scratch):
+    """Votes count labels as they are: a label without room gives way to the commonest one that has."""
+    cells = spark.createDataFrame([(1, 0, 3), (1, 1, 2), (1, 2, 2), (2, 0, 4)], "unit long, label int, n long")
+    got = {r["unit"]: (r["to"], r["gain"]) for r in sharding._votes(cells, [6, 7, 9], 0).collect()}
+    assert got == {1: (1, 2), 2: (0, 4)}
+    load = [0, 0, 0]
+    found = sharding._settle(cells, load, [4, 7, 0], 4, scratch, "hand")
+    assert sorted((r["unit"], r["shard"]) for t in found for r in t.collect()) == [(1, 1), (2, 0)] and load == [4, 7, 0]
 
 
 def test_bpe_round_trip(docs, rows):
