@@ -120,6 +120,28 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def rolling(hashes: np.ndarray, k: int, base: int = 0x9FB21C651E98DF25) -> np.ndarray:
+    """As ``grams`` (with other values), in a few passes whatever k is: differences of one running sum."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    up, down = np.full(len(hashes), base, U64), np.full(n, pow(base, -1, 1 << 64), U64)
+    up[0] = down[0] = 1
+    total = np.zeros(len(hashes) + 1, U64)
+    np.cumsum(hashes * np.cumprod(up, dtype=U64), dtype=U64, out=total[1:])
+    return mix((total[k:] - total[:n]) * np.cumprod(down, dtype=U64) + U64(k))
+
+
+def leftmost_min(values: np.ndarray, span: int) -> np.ndarray:
+    """Where each run of ``span`` values has its least one, the leftmost of equals."""
+    pick = lambda a, b: np.where(values[a] <= values[b], a, b)
+    at, size = np.arange(len(values)), 1
+    while 2 * size <= span:
+        at, size = pick(at[:-size], at[size:]), 2 * size
+    n = len(values) - span + 1
+    return pick(at[:n], at[span - size : span - size + n])
+
+
 def shingle_sets(hashes: np.ndarray, bounds: np.ndarray, k: int = 5) -> list[np.ndarray]:
     """For each text its sorted distinct k-word shingles; with fewer words, the whole sequence as one."""
     flat, out = grams(hashes, k), []

@@ -42,11 +42,11 @@ def near_duplicates(docs):
     return components(sets, links), {i: len(s) for i, s in sets.items()}
 
 
-def passages(docs, size=50):
+def passages(docs, size=50, lower=True):
     """Words that go, per document."""
     own, text = {}, {}
     for i, t in sorted(docs):
-        text[i] = words(t)
+        text[i] = words(t, lower)
         for j in range(len(text[i]) - size + 1):
             own.setdefault(tuple(text[i][j : j + size]), (i, j))
     out = {}

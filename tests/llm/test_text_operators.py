@@ -65,6 +65,44 @@ def test_passages(docs, rows, scratch):
     assert sum(map(len, gone.values())) > 1000
 
 
+def test_passages_across_ranges(spark, scratch):
+    """A passage that all documents hold, with other words around it, over many small ranges; and one in other case."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    hot, cased = [word() for _ in range(70)], [f"Mixed{k}" for k in range(60)]
+    rows = []
+    for i in range(150):
+        w = [word() for _ in range(rng.randrange(20, 60))]
+        at = rng.randrange(len(w))
+        w[at:at] = hot if i % 3 else hot[: rng.randrange(50, 70)]
+        if i % 10 == 0:
+            w += cased if i % 20 else [x.upper() for x in cased]
+        if i % 25 == 0:
+            w += hot + hot
+        rows.append((i, " ".join(w)))
+    rows += [(i + 200, t) for i, t in rows[:20]]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+        for fold in (True, False):
+            got = by_id(suffix_dedup.dedup_passages(df, scratch, fold=fold))
+            gone = brute.passages(rows, lower=fold)
+            assert {i: {k for a, b in r["spans"] for k in range(a, b)} for i, r in got.items()} == gone
+            if fold:
+                assert sum(map(len, gone.values())) > 9000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_passages_of_one_id_and_two_texts(spark, scratch):
+    one, two = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, one), (5, two), (5, one), (5, two)]
+    got = suffix_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()
+    assert sorted((r["doc_id"], r["n_removed"], r["text"][:1]) for r in got) == [(1, 0, "a"), (5, 0, "b"), (5, 0, "b"), (5, 60, "")]
+
+
 @pytest.mark.parametrize("broadcast", [0, 1000])
 def test_lines(docs, rows, scratch, broadcast):
     got = by_id(linededup.dedup_lines(docs, scratch, broadcast_lines=broadcast))
