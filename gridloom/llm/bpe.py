@@ -1,16 +1,21 @@
-"""BPE encoding with reuse of content-defined chunks.
+"""BPE encoding and decoding with content-defined chunks that documents share.
 
-A rolling hash over words cuts every text into chunks, at the same places wherever the same words
-come.  A chunk is encoded once for all documents that a task reads, and its ids and decoded form
-are reused.  Reuse stays inside a task: to send ids to the documents of other tasks would cost
-more than to encode again.
+1. A rolling hash over four words cuts every text into chunks of some 32 words, at the same places
+   wherever the same words come.  Chunks that come twice or more in the corpus are found by a bitmap.
+2. Each of them has one owner, the document of least hash that holds it, where it is encoded, once
+   for the whole corpus, into a table of chunks.
+3. Documents go to splits of a few megabytes by hash; each split is joined with the chunks that its
+   documents hold, each once, so a chunk that all documents hold is sent once a split (and salted).
+   Chunks of no other document are encoded in place, and documents without a shared chunk stay
+   where they are.
+4. Every join of two chunks is proved: the words on both sides must have the same ids together as
+   apart.  Chunks whose join does not agree are re-encoded as one, until all joins agree.
 
-Chunks end at ASCII white space, which the tokenizer drops.  Between ASCII bytes such a join is
-exact: normalisation, splitting and merges never reach across it; nor between Latin-1 letters.  A
-join with another character at either side (a combining mark, say) is re-encoded together with its neighbour words, and where
-that does not agree with the chunks, the two chunks are encoded as one, until all joins agree.
+Chunks end at ASCII white space, and are told apart by 128 bits over the hashes of their words and
+what stands between these.  Ids and decoded texts are those of the tokenizer on whole texts.
 
-Null texts count as empty: no ids, and an empty decoded text.
+Null texts count as empty: no ids, and an empty decoded text.  Repeated rows and rows with the same
+id are encoded each; null ids are kept.
 """
 
 from __future__ import annotations
@@ -19,20 +24,61 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from . import textkit as tk
+from .counting import Counted, count
+from .store import Scratch, Shared
 
-CHUNK_WORDS, CACHE_CHUNKS = 1, 500_000
+#: Words of a chunk on average, and of the rolling hash; bytes of text of a split, and joins that a task remembers.
+CHUNK_WORDS, ROLL_WORDS, SPLIT_BYTES, CACHE_JOINS = 32, 4, 4 << 20, 500_000
+#: A chunk of more pieces than this is hot: its rows are salted.
+HOT, SALTS = 2000, 32
+
+
+@dataclass
+class Chunks:
+    """The chunks of some texts: bytes from lo to hi, first and last words, keys; and each text's range among them."""
+
+    raw: bytes
+    lo: np.ndarray
+    hi: np.ndarray
+    k1: np.ndarray
+    k2: np.ndarray
+    bounds: np.ndarray
+    first_end: np.ndarray
+    last_start: np.ndarray
+
+
+def chunks_of(data: np.ndarray, offsets: np.ndarray, chunk_words: int) -> Chunks:
+    starts, ends, h, bounds = tk.words(data, offsets, lower=False)
+    if not len(starts):
+        none, keys = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return Chunks(b"", none, none, keys, keys, np.zeros(len(offsets), np.int64), none, none)
+    last = np.zeros(len(h), bool)
+    roll = tk.rolling(h, ROLL_WORDS)
+    last[len(h) - len(roll) :] = roll % tk.U64(chunk_words) == 0
+    last[bounds[1:][bounds[1:] > bounds[:-1]] - 1] = True
+    end = np.flatnonzero(last)
+    first = np.concatenate([[0], end[:-1] + 1])
+    # What stands before a word within its chunk: how much, and how it begins.
+    gap = np.zeros(len(h), np.uint64)
+    gap[1:] = (starts[1:] - ends[:-1]).astype(np.uint64) * tk.U64(256) + data[np.minimum(ends[:-1], len(data) - 1)]
+    gap[first] = 0
+    n = end - first + 1
+    place = tk.powers(int(n.max()))[np.arange(len(h)) - np.repeat(first, n)]
+    keys = [tk.mix(np.add.reduceat(tk.mix((h ^ tk.U64(salt)) + tk.mix(gap)) * place, first) + n.astype(np.uint64)) for salt in (0x2545F4914F6CDD1D, 0x8CB92BA72F3D8DD7)]
+    return Chunks(data.tobytes(), starts[first], ends[end], *keys, np.searchsorted(end, bounds - 1, "right"), ends[first], starts[end])
 
 
 class Codec:
-    """A tokenizer with chunk reuse; ids and decoded texts are those of the tokenizer on whole texts."""
+    """A tokenizer that encodes texts chunk by chunk."""
 
-    def __init__(self, path: str, chunk_words: int = CHUNK_WORDS, cache_chunks: int = CACHE_CHUNKS):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -47,135 +93,195 @@ class Codec:
         n = self.tok.get_vocab_size(with_added_tokens=True)
         self.token = [(self.tok.id_to_token(i) or "").encode() for i in range(n)]
         self.kind = "<u2" if n <= 1 << 16 else "<u4"
-        self.chunk_words, self.cache_chunks = chunk_words, cache_chunks
-        self.known: dict[int, tuple[bytes, bytes]] = {}
         self.agreed: dict[bytes, bool] = {}
 
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
     def encode_many(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text; texts without special tokens go in one run, parted by a special token."""
+        """Ids of each text; texts without special tokens go in runs, parted by a special token."""
         out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(texts)
         plain, size = [], 0
 
         def flush() -> None:
-            ids = np.array(self.tok.encode(self.stop_text.join(texts[i].decode() for i in plain), add_special_tokens=False).ids, self.kind)
+            ids = self.ids(self.stop_text.join([texts[i].decode() for i in plain]))
             cuts = np.flatnonzero(ids == self.stop)
             for i, a, b in zip(plain, np.concatenate([[0], cuts + 1]).tolist(), np.concatenate([cuts, [len(ids)]]).tolist()):
                 out[i] = ids[a:b]
 
         for i, text in enumerate(texts):
             if self.open in text or text[-1:] == self.open[:1] or text[:1] == self.shut:
-                out[i] = np.array(self.tok.encode(text.decode(), add_special_tokens=False).ids, self.kind)
+                out[i] = self.ids(text.decode())
                 continue
             plain.append(i)
             size += len(text) + len(self.stop_text)
-            if size > 1 << 16:
+            if size > 1 << 14:
                 flush()
                 plain, size = [], 0
         if plain:
             flush()
         return out
 
-    def learn(self, keys: list[int], chunks: list[bytes]) -> None:
-        for k, ids in zip(keys, self.encode_many(chunks)):
-            self.known[k] = ids.tobytes(), b"".join([self.token[i] + b" " for i in ids.tolist()])
-
-    def settle(self, joins: list[bytes], words: list[tuple[bytes, bytes]]) -> None:
-        """Find out for each pair of words (left, right) if encoding them together makes no difference."""
-        ids = self.encode_many([x for j, (a, b) in zip(joins, words) for x in (j, a, b)])
-        for k, j in enumerate(joins):
-            self.agreed[j] = np.array_equal(ids[3 * k], np.concatenate(ids[3 * k + 1 : 3 * k + 3]))
-
-    def run(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
-        """(ids as bytes, decoded text) of each text."""
-        for cache in (self.known, self.agreed):
-            if len(cache) > self.cache_chunks:
-                cache.clear()
-        starts, ends, h, bounds = tk.words(data, offsets, lower=False)
-        if not len(starts):
-            yield from ((b"", b"") for _ in bounds[1:])
+    def settle(self, joins: list[tuple[bytes, bytes, bytes]]) -> None:
+        """Find out for each (left word, both, right word) if encoding the words together makes no difference."""
+        ids = self.encode_many([x for join in joins for x in join])
+        for k, (_, both, _) in enumerate(joins):
+            left, whole, right = ids[3 * k : 3 * k + 3]
+            self.agreed[both] = np.array_equal(whole, np.concatenate([left, right]))
+
+    def torn(self, c: Chunks) -> np.ndarray:
+        """Which chunks do not agree with the one before in their text."""
+        inner = np.ones(len(c.lo), bool)
+        inner[c.bounds[:-1][c.bounds[:-1] < c.bounds[1:]]] = False
+        at = np.flatnonzero(inner)
+        left, a, b, right = c.last_start[at - 1].tolist(), c.hi[at - 1].tolist(), c.lo[at].tolist(), c.first_end[at].tolist()
+        both = [c.raw[x:y] for x, y in zip(left, right)]
+        if len(self.agreed) > CACHE_JOINS:
+            self.agreed.clear()
+        new = {w: (c.raw[left[k] : a[k]], w, c.raw[b[k] : right[k]]) for k, w in enumerate(both) if w not in self.agreed}
+        if new:
+            self.settle(list(new.values()))
+        out = np.zeros(len(c.lo), bool)
+        out[at] = [not self.agreed[w] for w in both]
+        return out
+
+    def run(self, c: Chunks, known: dict[tuple[int, int], bytes] | None = None) -> Iterator[bytes]:
+        """The ids of each text, as bytes; ``known`` chunks are not encoded again."""
+        if not len(c.lo):
+            yield from (b"" for _ in c.bounds[1:])
             return
-        last = np.ones(len(h), bool)
-        if self.chunk_words > 1:
-            roll = h.copy()
-            roll[1:] = tk.mix(roll[1:] + h[:-1] * tk.U64(0x9FB21C651E98DF25))
-            last = roll % tk.U64(self.chunk_words) == 0
-        last[bounds[1:][bounds[1:] > bounds[:-1]] - 1] = True
-        end = np.flatnonzero(last)
-        first = np.concatenate([[0], end[:-1] + 1])
-        lo, hi = starts[first], ends[end]
-        keys, at, which = np.unique(tk.span_hashes(data, lo, hi), return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        keys = keys.tolist()
-        new = [(k, raw[a:b]) for k, a, b in zip(keys, lo[at].tolist(), hi[at].tolist()) if k not in self.known]
-        self.learn([k for k, _ in new], [c for _, c in new])
-        edge = np.searchsorted(end, bounds - 1, "right")
-
-        # Which joins are to be proved: one with a byte at either side that is not of ASCII or Latin-1.
-        odd = np.zeros(len(first), bool)
-        right, tail = data[lo[1:]], data[hi[:-1] - 1]
-        lead = data[np.maximum(hi[:-1] - 2, 0)]
-        odd[1:] = ((right >= 128) & (right != 0xC3)) | ((tail >= 128) & (lead != 0xC3))
-        odd[edge[:-1][edge[:-1] < len(odd)]] = False
-        for k in np.flatnonzero(odd).tolist():
-            a, b = raw[starts[end[k - 1]] : ends[end[k - 1]]], raw[starts[first[k]] : ends[first[k]]]
-            if (join := a + b" " + b) not in self.agreed:
-                self.settle([join], [(a, b)])
-            odd[k] = not self.agreed[join]
-
-        got = [self.known[k] for k in keys]
-        ids, id_at = self._gather([x for x, _ in got], which, 2 if self.kind == "<u2" else 4)
-        text, text_at = self._gather([y for _, y in got], which, 1)
-        ids, text = ids.tobytes(), text.tobytes()
-        width = 2 if self.kind == "<u2" else 4
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            if odd[a:b].any():
-                yield self._merged(raw, lo, hi, odd, a, b)
+        known = known or {}
+        torn = self.torn(c)
+        whole = not torn.any()
+        pairs = list(zip(c.k1.tolist(), c.k2.tolist()))
+        new = {key: k for k, key in enumerate(pairs) if key not in known}
+        lo, hi = c.lo.tolist(), c.hi.tolist()
+        made = dict(zip(new, (x.tobytes() for x in self.encode_many([c.raw[lo[k] : hi[k]] for k in new.values()]))))
+        for a, b in zip(c.bounds[:-1].tolist(), c.bounds[1:].tolist()):
+            if whole or not torn[a:b].any():
+                yield b"".join([made[key] if key in made else known[key] for key in pairs[a:b]])
             else:
-                yield ids[width * id_at[a] : width * id_at[b]], text[text_at[a] : text_at[b]][:-1]
+                yield self.repaired(c, torn, a, b)
 
-    @staticmethod
-    def _gather(parts: list[bytes], which: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The parts in the order of ``which``, joined, and where each starts."""
-        n = np.array([len(p) // width for p in parts], np.int64)
-        flat = np.frombuffer(b"".join(parts), f"<u{width}")
-        length = n[which]
-        at = np.concatenate([[0], np.cumsum(length)])
-        return flat[np.repeat((np.cumsum(n) - n)[which] - at[:-1], length) + np.arange(at[-1])], at
+    def repaired(self, c: Chunks, torn: np.ndarray, a: int, b: int) -> bytes:
+        """The ids of a text some of whose chunks do not agree: these are encoded as one with those before."""
+        runs = [a, *(k for k in range(a + 1, b) if not torn[k]), b]
+        return b"".join([x.tobytes() for x in self.encode_many([c.raw[c.lo[x] : c.hi[y - 1]] for x, y in zip(runs, runs[1:])])])
 
-    def _merged(self, raw: bytes, lo: np.ndarray, hi: np.ndarray, odd: np.ndarray, a: int, b: int) -> tuple[bytes, bytes]:
-        """A text with chunks that do not agree where they join: they are encoded as one."""
-        runs = [a, *(k for k in range(a + 1, b) if not odd[k]), b]
-        ids = np.concatenate(self.encode_many([raw[lo[x] : hi[y - 1]] for x, y in zip(runs, runs[1:])]))
-        return ids.tobytes(), b" ".join([self.token[i] for i in ids.tolist()])
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b" ".join([self.token[i] for i in ids.tolist()])
 
 
-def digests(docs: DataFrame, path: str, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row of ``docs`` (doc_id, text)."""
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+ENCODED = "doc_id long, ids array<int>, decoded string"
+
+
+def _digest(codec: Codec, ids: list[bytes]) -> list[pa.Array]:
+    arrays = [np.frombuffer(x, codec.kind) for x in ids]
+    sha = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in arrays]
+    return [pa.array([len(x) for x in arrays], pa.int64()), pa.array(sha, pa.string()), pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in arrays], pa.string())]
+
+
+def _plain(codec: Codec, ids: list[bytes]) -> list[pa.Array]:
+    arrays = [np.frombuffer(x, codec.kind) for x in ids]
+    return [pa.array([x.astype(np.int32) for x in arrays], pa.list_(pa.int32())), pa.array([codec.decode(x).decode() for x in arrays], pa.string())]
+
+
+def _held(found: Counted, c: Chunks) -> tuple[np.ndarray, np.ndarray]:
+    """Which chunks are shared, and how many of each text are."""
+    shared = found.again(c.k1)
+    return shared, np.diff(np.concatenate([[0], np.cumsum(shared)])[c.bounds])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, chunk_words)
+
+def _apply(docs: DataFrame, path: str, scratch: Scratch, chunk_words: int, schema: str, result) -> DataFrame:
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    splits = max(1, int(total) // SPLIT_BYTES)
+    own = F.xxhash64("doc_id", "text").alias("own")
+    docs = docs.select("doc_id", "text", own).withColumn("split", F.pmod("own", F.lit(splits)))
+    found = Shared(spark, count(docs.select("text"), lambda batch: (chunks_of(d, o, chunk_words).k1 for _, _, d, o in tk.pieces(batch)), HOT))
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+    long = lambda x: pa.array(x.view(np.int64))
+
+    def references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in tk.pieces(batch):
-                n, a, b = [], [], []
-                for ids, text in codec.run(data, offsets):
-                    ids = np.frombuffer(ids, codec.kind)
-                    n.append(len(ids))
-                    a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                    b.append(hashlib.sha256(text).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch["doc_id"][first:last], pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for first, _, data, offsets in tk.pieces(batch):
+                c = chunks_of(data, offsets, chunk_words)
+                shared, _ = _held(found.get(), c)
+                row = first + np.repeat(np.arange(len(offsets) - 1), np.diff(c.bounds))[shared]
+                k1, k2, split, who = c.k1[shared], c.k2[shared], batch["split"].to_numpy()[row], batch["own"].to_numpy()[row]
+                order = np.lexsort((who, split, k2, k1))
+                k1, k2, split, who = (x[order] for x in (k1, k2, split, who))
+                new = np.ones(len(k1), bool)
+                new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (split[1:] != split[:-1])
+                salt = np.where(found.get().often(k1[new]), split[new] % SALTS, 0)
+                yield pa.RecordBatch.from_arrays([long(k1[new]), long(k2[new]), pa.array(split[new]), pa.array(salt), pa.array(who[new])], ["k1", "k2", "split", "salt", "own"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    refs = scratch.table(docs.select("text", "own", "split").mapInArrow(references, "k1 long, k2 long, split long, salt long, own long"), "refs")
+    owners = refs.groupBy("k1", "k2").agg(F.min("own").alias("own"))
+    pair = lambda k, who: tk.mix(k ^ tk.mix(who))
+    view = lambda batch, name: batch[name].to_numpy().view(np.uint64)
+    heads = Shared(spark, count(owners, lambda batch: iter([np.repeat(pair(view(batch, "k1"), view(batch, "own")), 2)])))
 
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The results of documents without shared chunks, and the ids of the shared chunks that documents own."""
+        codec, kinds = Codec(path), None
+        for batch in batches:
+            for first, last, data, offsets in tk.pieces(batch):
+                c = chunks_of(data, offsets, chunk_words)
+                shared, n = _held(found.get(), c)
+                size = np.diff(c.bounds)
+                alone = np.flatnonzero(n == 0)
+                sub = np.repeat(n == 0, size)
+                mine = Chunks(c.raw, *(x[sub] for x in (c.lo, c.hi, c.k1, c.k2)), np.concatenate([[0], np.cumsum(size[alone])]), c.first_end[sub], c.last_start[sub])
+                cols = result(codec, list(codec.run(mine)))
+                kinds = kinds or [x.type for x in cols]
+                ids = batch["doc_id"].take(pa.array(first + alone))
+                none = pa.nulls(len(alone), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(alone), pa.binary()), pa.nulls(len(alone), pa.bool_()), ids, *cols], ["k1", "k2", "chunk", "hot", *names])
+                own = np.repeat(batch["own"].to_numpy()[first:last].view(np.uint64), size)[shared]
+                at = np.flatnonzero(shared)[heads.get().again(pair(c.k1[shared], own))]
+                _, spot = np.unique(np.stack([c.k1[at], c.k2[at]]), axis=1, return_index=True) if len(at) else (None, at)
+                at = at[spot]
+                made = [x.tobytes() for x in codec.encode_many([c.raw[a:b] for a, b in zip(c.lo[at].tolist(), c.hi[at].tolist())])]
+                yield pa.RecordBatch.from_arrays([long(c.k1[at]), long(c.k2[at]), pa.array(made, pa.binary()), pa.array(found.get().often(c.k1[at])), *[pa.nulls(len(at), t) for t in (pa.int64(), *kinds)]], ["k1", "k2", "chunk", "hot", *names])
 
-def encode(docs: DataFrame, path: str, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """(doc_id, ids, decoded) of each row of ``docs`` (doc_id, text)."""
+    first = scratch.table(docs.select("doc_id", "text", "own").mapInArrow(once, "k1 long, k2 long, chunk binary, hot boolean, " + schema), "once", wide=True)
+    # The chunks, each once, at the splits that hold them.
+    table = first.where("k1 is not null").groupBy("k1", "k2").agg(F.any_value("chunk").alias("chunk"), F.any_value("hot").alias("hot"))
+    salted = table.select("k1", "k2", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("hot"), F.lit(SALTS - 1)).otherwise(F.lit(0)).cast("long"))).alias("salt"))
+    at_splits = refs.select("k1", "k2", "salt", "split").distinct().join(salted, ["k1", "k2", "salt"]).select(F.col("split").alias("at"), "k1", "k2", "chunk")
+    at_splits = scratch.table(at_splits, "at-splits")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, chunk_words)
+    def sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in tk.pieces(batch):
-                got = list(codec.run(data, offsets))
-                ids = [np.frombuffer(x, codec.kind).astype(np.int32) for x, _ in got]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"][first:last], pa.array(ids, pa.list_(pa.int32())), pa.array([y.decode() for _, y in got])], ["doc_id", "ids", "decoded"])
+                _, n = _held(found.get(), chunks_of(data, offsets, chunk_words))
+                yield batch.slice(first, last - first).filter(pa.array(n > 0))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    rest = docs.select("split", "doc_id", "text").mapInArrow(sharing, "split long, doc_id long, text string")
+    held: list[Codec] = []
+
+    def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        held or held.append(Codec(path))
+        keys = zip(right["k1"].to_numpy().view(np.uint64).tolist(), right["k2"].to_numpy().view(np.uint64).tolist())
+        known, out = dict(zip(keys, right["chunk"].to_pylist())), []
+        for batch in left.select(["doc_id", "text"]).combine_chunks().to_batches():
+            for first, last, data, offsets in tk.pieces(batch):
+                ids = list(held[0].run(chunks_of(data, offsets, chunk_words), known))
+                out.append(pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, last - first), *result(held[0], ids)], names))
+        return pa.Table.from_batches(out) if out else pa.table(dict(zip(names, [pa.array([], pa.int64()), *result(held[0], [])])))
+
+    joined = rest.groupBy("split").cogroup(at_splits.groupBy("at")).applyInArrow(join, schema)
+    scratch.drop("refs")
+    return first.where("k1 is null").select(names).unionByName(joined)
+
+
+def digests(docs: DataFrame, path: str, scratch: Scratch, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row of ``docs`` (doc_id, text)."""
+    return _apply(docs, path, scratch, chunk_words, DIGESTS, _digest)
+
+
+def encode(docs: DataFrame, path: str, scratch: Scratch, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """(doc_id, ids, decoded) of each row of ``docs`` (doc_id, text)."""
+    return _apply(docs, path, scratch, chunk_words, ENCODED, _plain)

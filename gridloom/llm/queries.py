@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, classifier, embed_dedup, jaccard, linededup, packing, quality_rules, sharding, suffix_dedup, warc
@@ -53,7 +52,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    import public_tokenizers  # says where the vocabulary files are
+
+    return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), Scratch(spark, "op10"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_quality_classifier, op4_embedding_dedup, op5_suffix_dedup, op6_line_dedup, op7_warc_archive, op8_quality_rules, op9_sharding, op10_bpe)}

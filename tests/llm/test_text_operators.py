@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import brute
@@ -263,28 +264,54 @@ def test_sharding_moves_with_current_labels(spark, scratch):
     assert sorted((r["unit"], r["shard"]) for t in found for r in t.collect()) == [(1, 1), (2, 0)] and load == [4, 7, 0]
 
 
-def test_bpe_round_trip(docs, rows):
+@pytest.mark.parametrize("words", [1, 6, 32])
+def test_bpe(docs, rows, scratch, words, monkeypatch):
+    """Ids and decoded texts of both forms are the tokenizer's own; copies share chunks over many splits, hot ones salted."""
     public = pytest.importorskip("public_tokenizers")
     path = public.path("word_bpe_49k.json")
-    for words in (1, 3, 40):
-        got = by_id(bpe.encode(docs, path, words))
-        tok = bpe.Codec(path).tok
-        for r in rows:
-            ids = tok.encode(r[1] or "", add_special_tokens=False).ids
-            assert got[r[0]]["ids"] == ids, (r[0], words)
-            assert got[r[0]]["decoded"] == tok.decode(ids, skip_special_tokens=False)
+    monkeypatch.setattr(bpe, "SPLIT_BYTES", 20_000)
+    monkeypatch.setattr(bpe, "HOT", 5)
+    codec, made = bpe.Codec(path), []
+    got = by_id(bpe.encode(docs, path, scratch, words))
+    digest = by_id(bpe.digests(docs, path, scratch, words))
+    assert len(got) == len(digest) == len(rows)
+    for r in rows:
+        ids = codec.tok.encode(r[1] or "", add_special_tokens=False).ids
+        text = codec.tok.decode(ids, skip_special_tokens=False)
+        assert (got[r[0]]["ids"], got[r[0]]["decoded"]) == (ids, text), r[0]
+        made.append(len(ids))
+        d = digest[r[0]]
+        assert d["n_tokens"] == len(ids) and d["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert d["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    table = scratch.spark.read.parquet(f"{scratch.root}/once").where("k1 is not null")
+    assert 0 < table.count() == table.select("k1", "k2").distinct().count()
+
+
+def test_bpe_of_repeated_rows_and_null_ids(spark, scratch):
+    public = pytest.importorskip("public_tokenizers")
+    text = " ".join(f"word{k}" for k in range(200))
+    df = spark.createDataFrame([(1, text), (1, text), (None, text), (1, "other"), (None, None), (2, "")], "doc_id long, text string")
+    got = bpe.digests(df, public.path("word_bpe_49k.json"), scratch).collect()
+    n = len(bpe.Codec(public.path("word_bpe_49k.json")).tok.encode(text, add_special_tokens=False).ids)
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == [(0, 0), (0, n), (1, 1), (1, n), (1, n), (2, 0)]
 
 
 def test_bpe_repairs_joins(monkeypatch):
-    """Joins that are said to disagree are encoded as one, with the same ids."""
+    """Chunks whose join does not agree are encoded as one, with the ids of the whole."""
     public = pytest.importorskip("public_tokenizers")
-    codec = bpe.Codec(public.path("word_bpe_49k.json"), 1)
-    monkeypatch.setattr(codec, "settle", lambda joins, words: codec.agreed.update({j: False for j in joins}))
+    codec = bpe.Codec(public.path("word_bpe_49k.json"))
     text = "na日 本a ́b x cé 日 z"
     data = np.frombuffer(text.encode(), np.uint8)
-    (ids, decoded), = codec.run(data, np.array([0, len(data)]))
+    chunks = bpe.chunks_of(data, np.array([0, len(data)]), 1)
     want = codec.tok.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(ids, codec.kind).tolist() == want and decoded.decode() == codec.tok.decode(want, skip_special_tokens=False)
+    assert len(chunks.lo) == 4 and not codec.torn(chunks).any()
+    for bad in ({" "}, {"日 z"}, {"x cé", "日 z"}):
+        said = {w: not any(x in w.decode() for x in bad) for w in codec.agreed}
+        assert not all(said.values())
+        monkeypatch.setattr(codec, "agreed", said)
+        for known in (None, {k: b"\0\0" for k in zip(chunks.k1.tolist(), chunks.k2.tolist())} if bad == {" "} else None):
+            (ids,) = codec.run(chunks, known)
+            assert np.frombuffer(ids, codec.kind).tolist() == want
 
 
 def test_empty_tables(spark, none, scratch):
@@ -298,4 +325,4 @@ def test_empty_tables(spark, none, scratch):
     assert sharding.shard(none, scratch).count() == 0
     pytest.importorskip("tokenizers")
     public = pytest.importorskip("public_tokenizers")
-    assert bpe.digests(none, public.path("word_bpe_49k.json")).count() == 0
+    assert bpe.digests(none, public.path("word_bpe_49k.json"), scratch).count() == 0
