@@ -6,10 +6,10 @@
    for the whole corpus, into a table of chunks.
 3. Documents go to splits of a few megabytes by hash; each split is joined with the chunks that its
    documents hold, each once, so a chunk that all documents hold is sent once a split (and salted).
-   Chunks of no other document are encoded in place, and documents without a shared chunk stay
-   where they are.
-4. Every join of two chunks is proved: the words on both sides must have the same ids together as
-   apart.  Chunks whose join does not agree are re-encoded as one, until all joins agree.
+   What stands between shared chunks is encoded in place, as one.  Documents with no or hardly a
+   shared chunk (``LEAST_SHARED``) stay where they are and are encoded there.
+4. Every join with a shared chunk is proved: the words on both sides must have the same ids together
+   as apart.  Chunks whose join does not agree are re-encoded as one, until all joins agree.
 
 Chunks end at ASCII white space, and are told apart by 128 bits over the hashes of their words and
 what stands between these.  Ids and decoded texts are those of the tokenizer on whole texts.
@@ -36,8 +36,11 @@ from .store import Scratch, Shared
 
 #: Words of a chunk on average, and of the rolling hash; bytes of text of a split, and joins that a task remembers.
 CHUNK_WORDS, ROLL_WORDS, SPLIT_BYTES, CACHE_JOINS = 32, 4, 4 << 20, 500_000
-#: A chunk of more pieces than this is hot: its rows are salted.
+#: A chunk of more occurrences than this is hot: its rows are salted.
 HOT, SALTS = 2000, 32
+#: A document goes to the shared chunks if they are one part in so many of it, at least. Below, sending its text costs
+#: more than encoding them again where it is.
+LEAST_SHARED = 16
 
 
 @dataclass
@@ -62,7 +65,10 @@ def chunks_of(data: np.ndarray, offsets: np.ndarray, chunk_words: int) -> Chunks
     last = np.zeros(len(h), bool)
     roll = tk.rolling(h, ROLL_WORDS)
     last[len(h) - len(roll) :] = roll % tk.U64(chunk_words) == 0
-    last[bounds[1:][bounds[1:] > bounds[:-1]] - 1] = True
+    some = bounds[1:] > bounds[:-1]
+    for k in range(ROLL_WORDS - 1):  # these would depend on the text before
+        last[np.minimum(bounds[:-1][some] + k, len(h) - 1)] = False
+    last[bounds[1:][some] - 1] = True
     end = np.flatnonzero(last)
     first = np.concatenate([[0], end[:-1] + 1])
     # What stands before a word within its chunk: how much, and how it begins.
@@ -86,7 +92,8 @@ class Codec:
         self.tok.no_truncation()
         self.tok.no_padding()
         with open(path, encoding="utf-8") as f:
-            special = [(x["id"], x["content"]) for x in json.load(f)["added_tokens"] if x["special"]]
+            spec = json.load(f)
+        special = [(x["id"], x["content"]) for x in spec["added_tokens"] if x["special"]]
         self.stop, self.stop_text = special[-1]
         self.open, self.shut = b"<|", b">"  # how special tokens begin and end
         assert all(c.startswith("<|") and c.endswith(">") for _, c in special)
@@ -94,16 +101,24 @@ class Codec:
         self.token = [(self.tok.id_to_token(i) or "").encode() for i in range(n)]
         self.kind = "<u2" if n <= 1 << 16 else "<u4"
         self.agreed: dict[bytes, bool] = {}
+        # On ASCII, these normalisers do no more than lower the case: a tokenizer without them is faster.
+        plain = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"})
+        steps = (spec["normalizer"] or {}).get("normalizers", [])
+        self.lean = None
+        if plain[2] in steps and all(x in plain for x in steps) and self.stop_text == self.stop_text.lower():
+            self.lean = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "truncation": None, "padding": None}))
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        tok, text = (self.lean, text.lower()) if self.lean is not None and text.isascii() else (self.tok, text)
+        return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def encode_many(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text; texts without special tokens go in runs, parted by a special token."""
         out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(texts)
-        plain, size = [], 0
+        held: dict[bool, list[int]] = {True: [], False: []}  # by whether the text is ASCII
+        size = {True: 0, False: 0}
 
-        def flush() -> None:
+        def flush(plain: list[int]) -> None:
             ids = self.ids(self.stop_text.join([texts[i].decode() for i in plain]))
             cuts = np.flatnonzero(ids == self.stop)
             for i, a, b in zip(plain, np.concatenate([[0], cuts + 1]).tolist(), np.concatenate([cuts, [len(ids)]]).tolist()):
@@ -113,13 +128,15 @@ class Codec:
             if self.open in text or text[-1:] == self.open[:1] or text[:1] == self.shut:
                 out[i] = self.ids(text.decode())
                 continue
-            plain.append(i)
-            size += len(text) + len(self.stop_text)
-            if size > 1 << 14:
-                flush()
-                plain, size = [], 0
-        if plain:
-            flush()
+            kind = text.isascii()
+            held[kind].append(i)
+            size[kind] += len(text) + len(self.stop_text)
+            if size[kind] > 1 << 14:
+                flush(held[kind])
+                held[kind], size[kind] = [], 0
+        for plain in held.values():
+            if plain:
+                flush(plain)
         return out
 
     def settle(self, joins: list[tuple[bytes, bytes, bytes]]) -> None:
@@ -129,11 +146,8 @@ class Codec:
             left, whole, right = ids[3 * k : 3 * k + 3]
             self.agreed[both] = np.array_equal(whole, np.concatenate([left, right]))
 
-    def torn(self, c: Chunks) -> np.ndarray:
-        """Which chunks do not agree with the one before in their text."""
-        inner = np.ones(len(c.lo), bool)
-        inner[c.bounds[:-1][c.bounds[:-1] < c.bounds[1:]]] = False
-        at = np.flatnonzero(inner)
+    def torn(self, c: Chunks, at: np.ndarray) -> np.ndarray:
+        """Which of the chunks at ``at`` do not agree with the one before."""
         left, a, b, right = c.last_start[at - 1].tolist(), c.hi[at - 1].tolist(), c.lo[at].tolist(), c.first_end[at].tolist()
         both = [c.raw[x:y] for x, y in zip(left, right)]
         if len(self.agreed) > CACHE_JOINS:
@@ -141,32 +155,28 @@ class Codec:
         new = {w: (c.raw[left[k] : a[k]], w, c.raw[b[k] : right[k]]) for k, w in enumerate(both) if w not in self.agreed}
         if new:
             self.settle(list(new.values()))
-        out = np.zeros(len(c.lo), bool)
-        out[at] = [not self.agreed[w] for w in both]
-        return out
+        return np.array([not self.agreed[w] for w in both], bool)
 
     def run(self, c: Chunks, known: dict[tuple[int, int], bytes] | None = None) -> Iterator[bytes]:
-        """The ids of each text, as bytes; ``known`` chunks are not encoded again."""
-        if not len(c.lo):
-            yield from (b"" for _ in c.bounds[1:])
-            return
-        known = known or {}
-        torn = self.torn(c)
-        whole = not torn.any()
-        pairs = list(zip(c.k1.tolist(), c.k2.tolist()))
-        new = {key: k for k, key in enumerate(pairs) if key not in known}
-        lo, hi = c.lo.tolist(), c.hi.tolist()
-        made = dict(zip(new, (x.tobytes() for x in self.encode_many([c.raw[lo[k] : hi[k]] for k in new.values()]))))
-        for a, b in zip(c.bounds[:-1].tolist(), c.bounds[1:].tolist()):
-            if whole or not torn[a:b].any():
-                yield b"".join([made[key] if key in made else known[key] for key in pairs[a:b]])
-            else:
-                yield self.repaired(c, torn, a, b)
-
-    def repaired(self, c: Chunks, torn: np.ndarray, a: int, b: int) -> bytes:
-        """The ids of a text some of whose chunks do not agree: these are encoded as one with those before."""
-        runs = [a, *(k for k in range(a + 1, b) if not torn[k]), b]
-        return b"".join([x.tobytes() for x in self.encode_many([c.raw[c.lo[x] : c.hi[y - 1]] for x, y in zip(runs, runs[1:])])])
+        """The ids of each text, as bytes; ``known`` chunks are not encoded again, and what stands between them is encoded as one."""
+        pairs = list(zip(c.k1.tolist(), c.k2.tolist())) if known else []
+        held = np.array([key in known for key in pairs], bool) if known else np.zeros(len(c.lo), bool)
+        opens = held.copy()
+        opens[1:] |= held[:-1]
+        opens[c.bounds[:-1][c.bounds[:-1] < c.bounds[1:]]] = False
+        at = np.flatnonzero(opens)
+        torn = at[self.torn(c, at)]
+        opens[torn] = False
+        held[torn] = held[np.maximum(torn - 1, 0)] = False  # encoded as one with the chunk before
+        opens[c.bounds[:-1][c.bounds[:-1] < c.bounds[1:]]] = True
+        start = np.flatnonzero(opens)
+        stop = np.append(start[1:], len(opens)) if len(start) else start
+        todo = np.flatnonzero(~held[start])
+        made = iter(self.encode_many([c.raw[x:y] for x, y in zip(c.lo[start[todo]].tolist(), c.hi[stop[todo] - 1].tolist())]))
+        parts = [known[pairs[k]] if own else next(made).tobytes() for k, own in zip(start.tolist(), held[start].tolist())]
+        edge = np.searchsorted(start, c.bounds).tolist()
+        for x, y in zip(edge, edge[1:]):
+            yield parts[x] if y == x + 1 else b"".join(parts[x:y])
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b" ".join([self.token[i] for i in ids.tolist()])
@@ -188,9 +198,11 @@ def _plain(codec: Codec, ids: list[bytes]) -> list[pa.Array]:
 
 
 def _held(found: Counted, c: Chunks) -> tuple[np.ndarray, np.ndarray]:
-    """Which chunks are shared, and how many of each text are."""
-    shared = found.again(c.k1)
-    return shared, np.diff(np.concatenate([[0], np.cumsum(shared)])[c.bounds])
+    """Which chunks are shared, and which texts are sent to them."""
+    shared, n = found.again(c.k1), c.hi - c.lo
+    total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[c.bounds])
+    moved = (total(shared) > 0) & (total(shared * n) * LEAST_SHARED >= total(n))
+    return shared & np.repeat(moved, np.diff(c.bounds)), moved
 
 
 def _apply(docs: DataFrame, path: str, scratch: Scratch, chunk_words: int, schema: str, result) -> DataFrame:
@@ -226,40 +238,47 @@ def _apply(docs: DataFrame, path: str, scratch: Scratch, chunk_words: int, schem
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The results of documents without shared chunks, and the ids of the shared chunks that documents own."""
         codec, kinds = Codec(path), None
+        keys = ["k1", "k2", "chunk", "hot", "moved"]
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64()]
+
+        def row(n: int, **given: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(n, t) for c, t in zip([*keys, *names], [*types, pa.int64(), *kinds])], [*keys, *names])
+
         for batch in batches:
             for first, last, data, offsets in tk.pieces(batch):
                 c = chunks_of(data, offsets, chunk_words)
-                shared, n = _held(found.get(), c)
-                size = np.diff(c.bounds)
-                alone = np.flatnonzero(n == 0)
-                sub = np.repeat(n == 0, size)
+                shared, moved = _held(found.get(), c)
+                size, alone = np.diff(c.bounds), np.flatnonzero(~moved)
+                sub = np.repeat(~moved, size)
                 mine = Chunks(c.raw, *(x[sub] for x in (c.lo, c.hi, c.k1, c.k2)), np.concatenate([[0], np.cumsum(size[alone])]), c.first_end[sub], c.last_start[sub])
                 cols = result(codec, list(codec.run(mine)))
                 kinds = kinds or [x.type for x in cols]
-                ids = batch["doc_id"].take(pa.array(first + alone))
-                none = pa.nulls(len(alone), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(alone), pa.binary()), pa.nulls(len(alone), pa.bool_()), ids, *cols], ["k1", "k2", "chunk", "hot", *names])
-                own = np.repeat(batch["own"].to_numpy()[first:last].view(np.uint64), size)[shared]
-                at = np.flatnonzero(shared)[heads.get().again(pair(c.k1[shared], own))]
-                _, spot = np.unique(np.stack([c.k1[at], c.k2[at]]), axis=1, return_index=True) if len(at) else (None, at)
-                at = at[spot]
-                made = [x.tobytes() for x in codec.encode_many([c.raw[a:b] for a, b in zip(c.lo[at].tolist(), c.hi[at].tolist())])]
-                yield pa.RecordBatch.from_arrays([long(c.k1[at]), long(c.k2[at]), pa.array(made, pa.binary()), pa.array(found.get().often(c.k1[at])), *[pa.nulls(len(at), t) for t in (pa.int64(), *kinds)]], ["k1", "k2", "chunk", "hot", *names])
-
-    first = scratch.table(docs.select("doc_id", "text", "own").mapInArrow(once, "k1 long, k2 long, chunk binary, hot boolean, " + schema), "once", wide=True)
+                yield row(len(alone), **dict(zip(names, [batch["doc_id"].take(pa.array(first + alone)), *cols])))
+                who = batch["own"].to_numpy()[first:last]
+                yield row(int(moved.sum()), moved=pa.array(who[moved]))
+                at = np.flatnonzero(shared)
+                at = at[heads.get().again(pair(c.k1[at], np.repeat(who.view(np.uint64), size)[at]))]
+                if len(at):
+                    _, spot = np.unique(np.stack([c.k1[at], c.k2[at]]), axis=1, return_index=True)
+                    at = at[spot]
+                    made = [x.tobytes() for x in codec.encode_many([c.raw[a:b] for a, b in zip(c.lo[at].tolist(), c.hi[at].tolist())])]
+                    yield row(len(at), k1=long(c.k1[at]), k2=long(c.k2[at]), chunk=pa.array(made, pa.binary()), hot=pa.array(found.get().often(c.k1[at])))
+
+    first = scratch.table(docs.select("doc_id", "text", "own").mapInArrow(once, "k1 long, k2 long, chunk binary, hot boolean, moved long, " + schema), "once", wide=True)
     # The chunks, each once, at the splits that hold them.
     table = first.where("k1 is not null").groupBy("k1", "k2").agg(F.any_value("chunk").alias("chunk"), F.any_value("hot").alias("hot"))
     salted = table.select("k1", "k2", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("hot"), F.lit(SALTS - 1)).otherwise(F.lit(0)).cast("long"))).alias("salt"))
     at_splits = refs.select("k1", "k2", "salt", "split").distinct().join(salted, ["k1", "k2", "salt"]).select(F.col("split").alias("at"), "k1", "k2", "chunk")
     at_splits = scratch.table(at_splits, "at-splits")
 
+    # Documents that are sent, by a bitmap; those of others that it lets pass too are told apart where they arrive.
+    sent = Shared(spark, count(first.where("moved is not null").select("moved"), lambda batch: iter([np.repeat(tk.mix(view(batch, "moved")), 2)])))
+
     def sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in tk.pieces(batch):
-                _, n = _held(found.get(), chunks_of(data, offsets, chunk_words))
-                yield batch.slice(first, last - first).filter(pa.array(n > 0))
+            yield batch.select(["split", "doc_id", "text"]).filter(pa.array(sent.get().again(tk.mix(view(batch, "own")))))
 
-    rest = docs.select("split", "doc_id", "text").mapInArrow(sharing, "split long, doc_id long, text string")
+    rest = docs.select("split", "own", "doc_id", "text").mapInArrow(sharing, "split long, doc_id long, text string")
     held: list[Codec] = []
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -268,13 +287,15 @@ def _apply(docs: DataFrame, path: str, scratch: Scratch, chunk_words: int, schem
         known, out = dict(zip(keys, right["chunk"].to_pylist())), []
         for batch in left.select(["doc_id", "text"]).combine_chunks().to_batches():
             for first, last, data, offsets in tk.pieces(batch):
-                ids = list(held[0].run(chunks_of(data, offsets, chunk_words), known))
-                out.append(pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, last - first), *result(held[0], ids)], names))
+                c = chunks_of(data, offsets, chunk_words)
+                _, moved = _held(found.get(), c)
+                ids = [x for x, own in zip(held[0].run(c, known), moved) if own]
+                out.append(pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, last - first).filter(pa.array(moved)), *result(held[0], ids)], names))
         return pa.Table.from_batches(out) if out else pa.table(dict(zip(names, [pa.array([], pa.int64()), *result(held[0], [])])))
 
     joined = rest.groupBy("split").cogroup(at_splits.groupBy("at")).applyInArrow(join, schema)
     scratch.drop("refs")
-    return first.where("k1 is null").select(names).unionByName(joined)
+    return first.where("k1 is null and moved is null").select(names).unionByName(joined)
 
 
 def digests(docs: DataFrame, path: str, scratch: Scratch, chunk_words: int = CHUNK_WORDS) -> DataFrame:
