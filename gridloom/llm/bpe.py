@@ -6,7 +6,8 @@
    for the whole corpus, into a table of chunks.
 3. Documents go to splits of a few megabytes by hash; each split is joined with the chunks that its
    documents hold, each once, so a chunk that all documents hold is sent once a split (and salted).
-   What stands between shared chunks is encoded in place, as one.  Documents with no or hardly a
+   What stands between shared chunks is encoded in place, as one; a word that comes again in a task
+   is not encoded again, where the tokenizer's steps show that words do not touch.  Documents with no or hardly a
    shared chunk (``LEAST_SHARED``) stay where they are and are encoded there.
 4. Every join with a shared chunk is proved: the words on both sides must have the same ids together
    as apart.  Chunks whose join does not agree are re-encoded as one, until all joins agree.
@@ -34,8 +35,8 @@ from . import textkit as tk
 from .counting import Counted, count
 from .store import Scratch, Shared
 
-#: Words of a chunk on average, and of the rolling hash; bytes of text of a split, and joins that a task remembers.
-CHUNK_WORDS, ROLL_WORDS, SPLIT_BYTES, CACHE_JOINS = 32, 4, 4 << 20, 500_000
+#: Words of a chunk on average, and of the rolling hash; bytes of text of a split; joins and words that a task remembers.
+CHUNK_WORDS, ROLL_WORDS, SPLIT_BYTES, CACHE_JOINS, CACHE_WORDS = 32, 4, 4 << 20, 500_000, 1_000_000
 #: A chunk of more occurrences than this is hot: its rows are salted.
 HOT, SALTS = 2000, 32
 #: A document goes to the shared chunks if they are one part in so many of it, at least. Below, sending its text costs
@@ -45,23 +46,33 @@ LEAST_SHARED = 16
 
 @dataclass
 class Chunks:
-    """The chunks of some texts: bytes from lo to hi, first and last words, keys; and each text's range among them."""
+    """The chunks of some texts: first and last word, keys; each text's range among them; and all words: bytes from, to, hash."""
 
     raw: bytes
-    lo: np.ndarray
-    hi: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    hashes: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
     k1: np.ndarray
     k2: np.ndarray
     bounds: np.ndarray
-    first_end: np.ndarray
-    last_start: np.ndarray
+
+    def only(self, texts: np.ndarray) -> Chunks:
+        """Those of the texts that a mask picks."""
+        n = np.diff(self.bounds)
+        sub = np.repeat(texts, n)
+        return Chunks(self.raw, self.starts, self.ends, self.hashes, *(x[sub] for x in (self.first, self.last, self.k1, self.k2)), np.concatenate([[0], np.cumsum(n[texts])]))
+
+    def sizes(self) -> np.ndarray:
+        return self.ends[self.last] - self.starts[self.first]
 
 
 def chunks_of(data: np.ndarray, offsets: np.ndarray, chunk_words: int) -> Chunks:
     starts, ends, h, bounds = tk.words(data, offsets, lower=False)
     if not len(starts):
         none, keys = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        return Chunks(b"", none, none, keys, keys, np.zeros(len(offsets), np.int64), none, none)
+        return Chunks(b"", none, none, keys, none, none, keys, keys, np.zeros(len(offsets), np.int64))
     last = np.zeros(len(h), bool)
     roll = tk.rolling(h, ROLL_WORDS)
     last[len(h) - len(roll) :] = roll % tk.U64(chunk_words) == 0
@@ -78,7 +89,13 @@ def chunks_of(data: np.ndarray, offsets: np.ndarray, chunk_words: int) -> Chunks
     n = end - first + 1
     place = tk.powers(int(n.max()))[np.arange(len(h)) - np.repeat(first, n)]
     keys = [tk.mix(np.add.reduceat(tk.mix((h ^ tk.U64(salt)) + tk.mix(gap)) * place, first) + n.astype(np.uint64)) for salt in (0x2545F4914F6CDD1D, 0x8CB92BA72F3D8DD7)]
-    return Chunks(data.tobytes(), starts[first], ends[end], *keys, np.searchsorted(end, bounds - 1, "right"), ends[first], starts[end])
+    return Chunks(data.tobytes(), starts, ends, h, first, end, *keys, np.searchsorted(end, bounds - 1, "right"))
+
+
+#: With these steps, no character of a text changes or splits another one across ASCII white space (it
+#: composes with nothing, lower case is by character, no alternative matches white space), so words can be encoded apart.
+NORMALISERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Codec:
@@ -101,24 +118,66 @@ class Codec:
         self.token = [(self.tok.id_to_token(i) or "").encode() for i in range(n)]
         self.kind = "<u2" if n <= 1 << 16 else "<u4"
         self.agreed: dict[bytes, bool] = {}
-        # On ASCII, these normalisers do no more than lower the case: a tokenizer without them is faster.
-        plain = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"})
+        self.words: dict[int, bytes] = {}
         steps = (spec["normalizer"] or {}).get("normalizers", [])
-        self.lean = None
-        if plain[2] in steps and all(x in plain for x in steps) and self.stop_text == self.stop_text.lower():
-            self.lean = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "truncation": None, "padding": None}))
+        parts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.by_word = all(x in NORMALISERS for x in steps) and parts[0].get("pattern") == {"Regex": PATTERN} and parts[0].get("behavior") == "Removed" and parts[0].get("invert") is True
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.final = np.array([bool(suffix) and t.endswith(suffix.encode()) for t in self.token])
 
     def ids(self, text: str) -> np.ndarray:
-        tok, text = (self.lean, text.lower()) if self.lean is not None and text.isascii() else (self.tok, text)
-        return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def learn(self, keys: list[int], words: list[bytes]) -> None:
+        """Encode words, those of letters only (one piece each) in runs that are cut where a piece ends."""
+        runs, size, rest = [[]], 0, []
+        for key, word in zip(keys, words):
+            if word.decode().isalpha():
+                if size > 1 << 14:
+                    runs, size = [*runs, []], 0
+                runs[-1].append((key, word))
+                size += len(word)
+            else:
+                rest.append((key, word))
+        for run in runs:
+            ids = self.ids(" ".join([w.decode() for _, w in run]))
+            cuts = np.flatnonzero(self.final[ids]) + 1
+            if len(cuts) == len(run):
+                flat, width = ids.tobytes(), ids.itemsize
+                self.words.update(zip((k for k, _ in run), (flat[width * a : width * b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist()))))
+            else:
+                rest += run
+        self.words.update(zip((k for k, _ in rest), (x.tobytes() for x in self.encode_many([w for _, w in rest]))))
+
+    def encode_runs(self, c: Chunks, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+        """Ids of the runs of words from first to last, which do not overlap; a word that comes again is encoded once."""
+        if not len(first):
+            return []
+        if not self.by_word:
+            return [x.tobytes() for x in self.encode_many([c.raw[a:b] for a, b in zip(c.starts[first].tolist(), c.ends[last].tolist())])]
+        n = last - first + 1
+        end = np.cumsum(n)
+        own = np.repeat(first - end + n, n) + np.arange(int(end[-1]))
+        keys, at, which = np.unique(c.hashes[own], return_index=True, return_inverse=True)
+        keys, at = keys.tolist(), own[at]
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        new = [(k, c.raw[a:b]) for k, a, b in zip(keys, c.starts[at].tolist(), c.ends[at].tolist()) if k not in self.words]
+        self.learn([k for k, _ in new], [w for _, w in new])
+        parts, width = [self.words[k] for k in keys], np.dtype(self.kind).itemsize
+        size = np.array([len(x) // width for x in parts], np.int64)
+        length = size[which]
+        to = np.concatenate([[0], np.cumsum(length)])
+        flat = np.frombuffer(b"".join(parts), self.kind)[np.repeat((np.cumsum(size) - size)[which] - to[:-1], length) + np.arange(to[-1])].tobytes()
+        cut = (width * to[np.concatenate([[0], end])]).tolist()
+        return [flat[a:b] for a, b in zip(cut, cut[1:])]
 
     def encode_many(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text; texts without special tokens go in runs, parted by a special token."""
         out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(texts)
-        held: dict[bool, list[int]] = {True: [], False: []}  # by whether the text is ASCII
-        size = {True: 0, False: 0}
+        plain, size = [], 0
 
-        def flush(plain: list[int]) -> None:
+        def flush() -> None:
             ids = self.ids(self.stop_text.join([texts[i].decode() for i in plain]))
             cuts = np.flatnonzero(ids == self.stop)
             for i, a, b in zip(plain, np.concatenate([[0], cuts + 1]).tolist(), np.concatenate([cuts, [len(ids)]]).tolist()):
@@ -128,15 +187,13 @@ class Codec:
             if self.open in text or text[-1:] == self.open[:1] or text[:1] == self.shut:
                 out[i] = self.ids(text.decode())
                 continue
-            kind = text.isascii()
-            held[kind].append(i)
-            size[kind] += len(text) + len(self.stop_text)
-            if size[kind] > 1 << 14:
-                flush(held[kind])
-                held[kind], size[kind] = [], 0
-        for plain in held.values():
-            if plain:
-                flush(plain)
+            plain.append(i)
+            size += len(text) + len(self.stop_text)
+            if size > 1 << 14:
+                flush()
+                plain, size = [], 0
+        if plain:
+            flush()
         return out
 
     def settle(self, joins: list[tuple[bytes, bytes, bytes]]) -> None:
@@ -148,7 +205,8 @@ class Codec:
 
     def torn(self, c: Chunks, at: np.ndarray) -> np.ndarray:
         """Which of the chunks at ``at`` do not agree with the one before."""
-        left, a, b, right = c.last_start[at - 1].tolist(), c.hi[at - 1].tolist(), c.lo[at].tolist(), c.first_end[at].tolist()
+        left, a = c.starts[c.last[at - 1]].tolist(), c.ends[c.last[at - 1]].tolist()
+        b, right = c.starts[c.first[at]].tolist(), c.ends[c.first[at]].tolist()
         both = [c.raw[x:y] for x, y in zip(left, right)]
         if len(self.agreed) > CACHE_JOINS:
             self.agreed.clear()
@@ -160,7 +218,7 @@ class Codec:
     def run(self, c: Chunks, known: dict[tuple[int, int], bytes] | None = None) -> Iterator[bytes]:
         """The ids of each text, as bytes; ``known`` chunks are not encoded again, and what stands between them is encoded as one."""
         pairs = list(zip(c.k1.tolist(), c.k2.tolist())) if known else []
-        held = np.array([key in known for key in pairs], bool) if known else np.zeros(len(c.lo), bool)
+        held = np.array([key in known for key in pairs], bool) if known else np.zeros(len(c.first), bool)
         opens = held.copy()
         opens[1:] |= held[:-1]
         opens[c.bounds[:-1][c.bounds[:-1] < c.bounds[1:]]] = False
@@ -172,8 +230,8 @@ class Codec:
         start = np.flatnonzero(opens)
         stop = np.append(start[1:], len(opens)) if len(start) else start
         todo = np.flatnonzero(~held[start])
-        made = iter(self.encode_many([c.raw[x:y] for x, y in zip(c.lo[start[todo]].tolist(), c.hi[stop[todo] - 1].tolist())]))
-        parts = [known[pairs[k]] if own else next(made).tobytes() for k, own in zip(start.tolist(), held[start].tolist())]
+        made = iter(self.encode_runs(c, c.first[start[todo]], c.last[stop[todo] - 1]))
+        parts = [known[pairs[k]] if own else next(made) for k, own in zip(start.tolist(), held[start].tolist())]
         edge = np.searchsorted(start, c.bounds).tolist()
         for x, y in zip(edge, edge[1:]):
             yield parts[x] if y == x + 1 else b"".join(parts[x:y])
@@ -199,7 +257,7 @@ def _plain(codec: Codec, ids: list[bytes]) -> list[pa.Array]:
 
 def _held(found: Counted, c: Chunks) -> tuple[np.ndarray, np.ndarray]:
     """Which chunks are shared, and which texts are sent to them."""
-    shared, n = found.again(c.k1), c.hi - c.lo
+    shared, n = found.again(c.k1), c.sizes()
     total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[c.bounds])
     moved = (total(shared) > 0) & (total(shared * n) * LEAST_SHARED >= total(n))
     return shared & np.repeat(moved, np.diff(c.bounds)), moved
@@ -249,9 +307,7 @@ def _apply(docs: DataFrame, path: str, scratch: Scratch, chunk_words: int, schem
                 c = chunks_of(data, offsets, chunk_words)
                 shared, moved = _held(found.get(), c)
                 size, alone = np.diff(c.bounds), np.flatnonzero(~moved)
-                sub = np.repeat(~moved, size)
-                mine = Chunks(c.raw, *(x[sub] for x in (c.lo, c.hi, c.k1, c.k2)), np.concatenate([[0], np.cumsum(size[alone])]), c.first_end[sub], c.last_start[sub])
-                cols = result(codec, list(codec.run(mine)))
+                cols = result(codec, list(codec.run(c.only(~moved))))
                 kinds = kinds or [x.type for x in cols]
                 yield row(len(alone), **dict(zip(names, [batch["doc_id"].take(pa.array(first + alone)), *cols])))
                 who = batch["own"].to_numpy()[first:last]
@@ -260,8 +316,8 @@ def _apply(docs: DataFrame, path: str, scratch: Scratch, chunk_words: int, schem
                 at = at[heads.get().again(pair(c.k1[at], np.repeat(who.view(np.uint64), size)[at]))]
                 if len(at):
                     _, spot = np.unique(np.stack([c.k1[at], c.k2[at]]), axis=1, return_index=True)
-                    at = at[spot]
-                    made = [x.tobytes() for x in codec.encode_many([c.raw[a:b] for a, b in zip(c.lo[at].tolist(), c.hi[at].tolist())])]
+                    at = at[np.sort(spot)]
+                    made = codec.encode_runs(c, c.first[at], c.last[at])
                     yield row(len(at), k1=long(c.k1[at]), k2=long(c.k2[at]), chunk=pa.array(made, pa.binary()), hot=pa.array(found.get().often(c.k1[at])))
 
     first = scratch.table(docs.select("doc_id", "text", "own").mapInArrow(once, "k1 long, k2 long, chunk binary, hot boolean, moved long, " + schema), "once", wide=True)

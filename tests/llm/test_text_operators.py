@@ -287,6 +287,18 @@ def test_bpe(docs, rows, scratch, words, monkeypatch):
     assert 0 < table.count() == table.select("k1", "k2").distinct().count()
 
 
+def test_bpe_without_words_apart(rows, monkeypatch):
+    """A tokenizer of other steps encodes runs whole, with the same ids."""
+    public = pytest.importorskip("public_tokenizers")
+    apart, whole = (bpe.Codec(public.path("word_bpe_49k.json")) for _ in range(2))
+    assert apart.by_word
+    whole.by_word = False
+    for r in rows:
+        data = np.frombuffer((r[1] or "").encode(), np.uint8)
+        c = bpe.chunks_of(data, np.array([0, len(data)]), 8)
+        assert list(apart.run(c)) == list(whole.run(c))
+
+
 def test_bpe_of_repeated_rows_and_null_ids(spark, scratch):
     public = pytest.importorskip("public_tokenizers")
     text = " ".join(f"word{k}" for k in range(200))
@@ -305,7 +317,7 @@ def test_bpe_repairs_joins(monkeypatch):
     chunks = bpe.chunks_of(data, np.array([0, len(data)]), 1)
     want = codec.tok.encode(text, add_special_tokens=False).ids
     keys = list(zip(chunks.k1.tolist(), chunks.k2.tolist()))
-    own = dict(zip(keys, (codec.ids(text.encode()[a:b].decode()).tobytes() for a, b in zip(chunks.lo, chunks.hi))))
+    own = dict(zip(keys, (codec.ids(text.encode()[a:b].decode()).tobytes() for a, b in zip(chunks.starts[chunks.first], chunks.ends[chunks.last]))))
     assert len(own) == 4 and not codec.torn(chunks, np.arange(1, 4)).any()
     for bad in ((), (" ",), ("日 z",), ("x cé", "日 z")):
         monkeypatch.setattr(codec, "agreed", {w: not any(x in w.decode() for x in bad) for w in codec.agreed})
