@@ -81,10 +81,27 @@ def test_no_vectors(spark, scratch):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"), scratch).count() == 0
 
 
-PAGES = [(1, "http://a/1", "<p>é</p>"), (2, "http://a/2", "<p>é</p>"), (9, None, "<p>é</p>"), (3, "http://a/3", None), (4, "http://a/4", ""), (5, "u: v", "x\r\nWARC-Type: revisit\r\n"), (6, "u", "long " * 30_000), (9, None, "<p>é</p>")]
-
-
-def test_archive(spark, scratch):
+PAGES = [
+    (1, "http://a/1", "<p>é</p>"), (2, "http://a/2", "<p>é</p>"), (9, None, "<p>é</p>"), (3, "http://a/3", None), (4, "http://a/4", ""),
+    (5, "u: v", "x\r\n\r\nWARC/1.1\r\nWARC-Type: revisit\r\n\r\n"), (6, "u", "long " * 30_000), (9, None, "<p>é</p>"), (10, "u WARC-Type: response", "same"),
+    (11, "http://b/\r\nWARC-Type: response", "same"), (12, "", "same"), (13, " http://b/é ", "same"), (14, "http://b/é?q=a b", "same"), (-3, "\t", "own"), (None, "http://c", "nobody"),
+]
+
+
+def _parse(data):
+    """Records of a WARC file, read by Content-Length."""
+    while data:
+        head, _, rest = data.partition(b"\r\n\r\n")
+        lines = head.split(b"\r\n")
+        assert lines[0] == b"WARC/1.1"
+        fields = dict(x.split(b": ", 1) for x in lines[1:])
+        n = int(fields[b"Content-Length"])
+        assert rest[n : n + 4] == b"\r\n\r\n"
+        yield fields, rest[:n]
+        data = rest[n + 4 :]
+
+
+def test_archive(spark, scratch, tmp_path):
     df = spark.createDataFrame([(*p, "clash") for p in PAGES], "page_id long, url string, html string, addr string")
     archive = warc.write(df, scratch)
     got = archive.index().collect()
@@ -92,17 +109,23 @@ def test_archive(spark, scratch):
     html = {p[0]: p[2] or "" for p in PAGES}
     for r in got:
         data = html[r["page_id"]].encode()
-        last = max(i for i, h in html.items() if h == html[r["page_id"]])
+        last = max((i for i, h in html.items() if h == html[r["page_id"]]), key=lambda i: i if i is not None else -99)
         assert r["payload_bytes"] == len(data) and r["payload_digest"] == base64.b32encode(hashlib.sha1(data).digest()).decode()
         assert (r["record_type"], r["refers_to"]) == (("response", None) if r["page_id"] == last else ("revisit", last))
     assert archive.store.count() == len(set(html.values()))
     assert sorted(map(repr, archive.pages().collect())) == sorted(map(repr, spark.createDataFrame(PAGES, archive.pages().schema).collect()))
-    for r in archive.records().collect():
-        head, _, body = bytes(r["record"]).partition(b"\r\n\r\n")
-        fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
-        assert body[-4:] == b"\r\n\r\n" and len(body) - 4 == int(fields[b"Content-Length"])
-        if fields[b"WARC-Type"] == b"response":
-            assert b"sha1:" + base64.b32encode(hashlib.sha1(body[:-4]).digest()) == fields[b"WARC-Payload-Digest"]
+    archive.save(f"{tmp_path}/warc")
+    files = [f.read_bytes() for f in (tmp_path / "warc").glob("part-*")]
+    assert sorted(b"".join(files)) == sorted(b"".join(bytes(r["record"]) for r in archive.records().collect()))
+    found = [x for f in files for x in _parse(f)]
+    assert len({f[b"WARC-Record-ID"] for f, _ in found}) == len(found) == len(PAGES)
+    responses = {f[b"WARC-Record-ID"]: (f, body) for f, body in found if f[b"WARC-Type"] == b"response"}
+    for fields, body in found:
+        assert fields[b"WARC-Date"] and fields[b"WARC-Target-URI"] is not None
+        if fields[b"WARC-Type"] == b"revisit":
+            assert body == b""
+            fields, body = responses[fields[b"WARC-Refers-To"]][0] | {b"WARC-Payload-Digest": fields[b"WARC-Payload-Digest"]}, responses[fields[b"WARC-Refers-To"]][1]
+        assert b"sha1:" + base64.b32encode(hashlib.sha1(body).digest()) == fields[b"WARC-Payload-Digest"]
 
 
 def test_empty_archive(spark, scratch):
