@@ -71,14 +71,25 @@ def _deal_issue(text: Column, p: Profile) -> Column:
     )
 
 
-def cell_issue(column: str, c: Column, p: Profile = ACTIVE) -> Column:
-    """What is wrong with one cell, null if nothing. A blank is wrong in the key column only."""
+def _tidy_blank(c: Column) -> Column:
+    """``is_blank`` of a cell that is sanitised."""
+    return F.lower(c).isin("", "nan", "none", "<na>")
+
+
+def _tidy_text(c: Column) -> Column:
+    """``clean_text`` of a cell that is sanitised."""
+    return F.when(_tidy_blank(c), F.lit("")).otherwise(c)
+
+
+def cell_issue(column: str, c: Column, p: Profile = ACTIVE, tidy: bool = False) -> Column:
+    """What is wrong with one cell, null if nothing. A blank is wrong in the key column only. ``tidy`` cells are sanitised before."""
+    blank, clean = (_tidy_blank, _tidy_text) if tidy else (is_blank, clean_text)
     if column == "Midas Code":
-        return let(clean_text(c), lambda text: _code_issue(text, p))
+        return let(clean(c), lambda text: _code_issue(text, p))
     if column == "EAN Barcode":
-        return F.when(~is_blank(c), let(clean_text(c), lambda text: _barcode_issue(text, p)))
+        return F.when(~blank(c), let(clean(c), lambda text: _barcode_issue(text, p)))
     if column == "Consumer Deal":
-        return F.when(~is_blank(c), let(clean_text(c), lambda text: _deal_issue(text, p)))
+        return F.when(~blank(c), let(clean(c), lambda text: _deal_issue(text, p)))
     if column not in p.column_patterns:
         return F.lit(None).cast(ISSUE)
 
@@ -88,13 +99,14 @@ def cell_issue(column: str, c: Column, p: Profile = ACTIVE) -> Column:
             return F.when(_foreign(text, p), issue(column, "wrong_currency", f"only '{p.currency}' is valid in this document", text)).otherwise(wrong)
         return wrong
 
-    return F.when(~is_blank(c), let(clean_text(c), match))
+    return F.when(~blank(c), match(c) if tidy else let(clean(c), match))
 
 
-def row_issues(cells: Mapping[str, Column], p: Profile = ACTIVE) -> Column:
+def row_issues(cells: Mapping[str, Column], p: Profile = ACTIVE, tidy: bool = False) -> Column:
     """All issues: blanks of mandatory columns first, then every cell that is not blank, in order."""
-    blank = [F.when(is_blank(cells[m]) if m in cells else F.lit(True), issue(m, f"blank_{m.lower().replace(' ', '_')}", f"{m} is blank", F.lit(""))) for m in p.mandatory]
-    own = [F.when(~is_blank(c), cell_issue(m, c, p)) for m, c in cells.items()]
+    is_empty = _tidy_blank if tidy else is_blank
+    blank = [F.when(is_empty(cells[m]) if m in cells else F.lit(True), issue(m, f"blank_{m.lower().replace(' ', '_')}", f"{m} is blank", F.lit(""))) for m in p.mandatory]
+    own = [cell_issue(m, c, p, tidy) if m != "Midas Code" else F.when(~is_empty(c), cell_issue(m, c, p, tidy)) for m, c in cells.items() if m in p.column_patterns or m in ("Midas Code", "EAN Barcode", "Consumer Deal")]
     return F.filter(F.array(*blank, *own), lambda x: x.isNotNull())
 
 
@@ -102,7 +114,7 @@ def issue_text(x: Column) -> Column:
     return F.concat(x["column"], F.lit(": "), x["message"], F.lit(" (got "), quoted(x["value"]), F.lit(")"))
 
 
-def corrected(column: str, c: Column, p: Profile = ACTIVE) -> Column:
+def corrected(column: str, c: Column, p: Profile = ACTIVE, tidy: bool = False) -> Column:
     """struct(value, note): a foreign dollar or a confused deal word is set right if the result is valid."""
 
     def fix(text: Column) -> Column:
@@ -112,11 +124,11 @@ def corrected(column: str, c: Column, p: Profile = ACTIVE) -> Column:
         return let(out, lambda x: F.when(x.rlike(r"(?i)\bPOR\b"), F.coalesce(_fixed_deal(x, p), x)).otherwise(x))
 
     def result(text: Column, fixed: Column) -> Column:
-        good = (text != "") & (fixed != text) & cell_issue(column, fixed, p).isNull()
+        good = (text != "") & (fixed != text) & cell_issue(column, fixed, p, tidy).isNull()
         note = F.concat(quoted(text), F.lit(" -> "), quoted(fixed))
         return let(good, lambda g: F.struct(F.when(g, fixed).otherwise(text).alias("value"), F.when(g, note).alias("note")))
 
-    return let(clean_text(c), lambda text: let(fix(text), lambda fixed: result(text, fixed)))
+    return let(_tidy_text(c) if tidy else clean_text(c), lambda text: let(fix(text), lambda fixed: result(text, fixed)))
 
 
 def sanitised(column: str, c: Column, p: Profile = ACTIVE) -> Column:

@@ -21,7 +21,7 @@ def finalize(rows: DataFrame, p: Profile = ACTIVE, corrections: bool = True) ->
     notes: list[Column] = []
     if corrections:
         exact = F.coalesce(F.col("verified_by") == "text-layer", F.lit(False))
-        fixes = {c: corrected(c, F.col(f"`{c}`"), p) for c in p.currency_columns}
+        fixes = {c: corrected(c, F.col(f"`{c}`"), p, tidy=True) for c in p.currency_columns}
         clean = clean.withColumns({f"_fix_{k}": F.when(~exact, x) for k, x in enumerate(fixes.values())})
         for k, c in enumerate(fixes):
             notes.append(F.when(F.col(f"_fix_{k}")["note"].isNotNull(), F.struct(F.lit(c).alias("column"), F.col(f"_fix_{k}")["note"].alias("change"))))
@@ -33,7 +33,7 @@ def finalize(rows: DataFrame, p: Profile = ACTIVE, corrections: bool = True) ->
         clean = clean.withColumn("corrections", F.array().cast("array<struct<column:string,change:string>>"))
     flags = F.coalesce("flags", F.array().cast("array<string>"))
     blocking = F.filter(flags, lambda f: f.isin(*p.blocking_flags))
-    return clean.withColumn("issues", row_issues({c: F.col(f"`{c}`") for c in p.output_columns}, p)).withColumn("blocking", blocking)
+    return clean.withColumn("issues", row_issues({c: F.col(f"`{c}`") for c in p.output_columns}, p, tidy=True)).withColumn("blocking", blocking)
 
 
 def is_kept() -> Column:

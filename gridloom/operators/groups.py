@@ -2,45 +2,45 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.profile import ACTIVE, Profile
 from ..functions.text import is_blank
 from .rows import cell_valid
 
 
+def _spread(rows: Column, span: Column) -> Column:
+    """The rows of a table with one span applied."""
+    at = F.array_position(F.get(rows, F.lit(0))["columns"], span["column"]).cast("int") - 1
+    inside = lambda r: r["row_idx"].between(span["first"], span["last"])
+    group = F.filter(rows, inside)
+    full = F.filter(group, lambda r: ~F.get(r["_blank"], at))
+    source = F.coalesce(F.get(F.filter(full, lambda r: F.get(r["_ok"], at)), F.lit(0)), F.get(full, F.lit(0)))
+    put = lambda cells, x: F.transform(cells, lambda c, i: F.when(i == at, x).otherwise(c))
+
+    def fill(r: Column) -> Column:
+        new = r.withField("values", put(r["values"], F.get(source["values"], at))).withField("_blank", put(r["_blank"], F.lit(False)))
+        new = new.withField("_ok", put(r["_ok"], F.get(source["_ok"], at))).withField("filled", r["filled"] + 1)
+        return F.when(inside(r) & F.get(r["_blank"], at), new).otherwise(r)
+
+    return F.when((at >= 0) & (F.size(group) > 1) & source.isNotNull(), F.transform(rows, fill)).otherwise(rows)
+
+
 def fill_groups(rows: DataFrame, keys: list[str], p: Profile = ACTIVE) -> DataFrame:
     """``rows`` (keys, row_idx, columns, values, merges) with blanks of merged groups filled, and ``filled`` cells.
 
     Per span: the first valid value of the group, or else its first value, goes to its blank rows;
     groups of one surviving row are left.  Spans apply in their order, and later ones see earlier
-    fills, so the rows of a table that has spans go to one task; other tables go by.
+    fills, so the rows of a table that has spans meet in one array, which the spans are folded over;
+    other tables go by.
     """
+    marked, names = rows.withColumn("filled", F.lit(0)), rows.columns
     some = F.size("merges") > 0
-    marked = rows.withColumn("filled", F.lit(0))
-    with_ok = rows.where(some).withColumn("_ok", F.zip_with("columns", "values", lambda c, v: cell_valid(c, v, p)))
-    with_ok = with_ok.withColumn("_blank", F.transform("values", is_blank))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_idx")
-        at = {r: k for k, r in enumerate(pdf.row_idx)}
-        values = [list(v) for v in pdf["values"]]
-        blank, ok = [list(v) for v in pdf["_blank"]], [list(v) for v in pdf["_ok"]]
-        filled = [0] * len(values)
-        names = list(pdf["columns"].iloc[0])
-        for span in pdf["merges"].iloc[0]:
-            group = [at[r] for r in range(span["first"], span["last"] + 1) if r in at]
-            if len(group) < 2 or span["column"] not in names:
-                continue
-            c = names.index(span["column"])
-            full = [k for k in group if not blank[k][c]]
-            source = next((k for k in full if ok[k][c]), full[0] if full else None)
-            for k in group:
-                if source is not None and blank[k][c]:
-                    values[k][c], blank[k][c], ok[k][c] = values[source][c], False, ok[source][c]
-                    filled[k] += 1
-        return pdf.assign(values=values, filled=filled)[out.names]
-
-    out = T.StructType(marked.schema.fields)
-    return marked.where(~some).unionByName(with_ok.groupBy(*keys).applyInPandas(run, out))
+    merged = F.transform("merges", lambda s: s["column"])
+    ok = F.zip_with("columns", "values", lambda c, v: F.when(F.array_contains(merged, c), F.coalesce(cell_valid(c, v, p), F.lit(False))).otherwise(False))
+    held = marked.where(some).withColumn("_ok", ok).withColumn("_blank", F.transform("values", is_blank))
+    row = F.struct("row_idx", *[c for c in (*names, "filled", "_ok", "_blank") if c not in (*keys, "row_idx")])
+    table = held.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    done = table.withColumn("_rows", F.aggregate(F.get("_rows", F.lit(0))["merges"], F.col("_rows"), _spread))
+    back = done.select(*keys, F.explode("_rows").alias("_r")).select(*[F.col(c) if c in keys else F.col("_r")[c].alias(c) for c in (*names, "filled")])
+    return marked.where(~some).unionByName(back)

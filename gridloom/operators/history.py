@@ -13,6 +13,11 @@ TABLES = {
 }
 
 
+def with_filenames(comparisons: DataFrame, records: DataFrame) -> DataFrame:
+    """``comparisons`` with the filename of their record, null if it is not known any more."""
+    return comparisons.join(records.select(F.col("id").alias("record_id"), "filename"), "record_id", "left")
+
+
 class History:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -67,8 +72,7 @@ class History:
 
     def comparisons(self) -> DataFrame:
         """Newest first, with the file that each was made from, if it is still known."""
-        names = self.table("extraction_records").select(F.col("id").alias("record_id"), "filename")
-        return self.table("comparison_records").join(names, "record_id", "left").orderBy(F.desc("created_at"), F.desc("id"))
+        return with_filenames(self.table("comparison_records"), self.table("extraction_records")).orderBy(F.desc("created_at"), F.desc("id"))
 
     def set_reports(self, key: int, report: str, extracted_only: str) -> None:
         put = lambda c, v: F.when(F.col("id") == key, F.lit(v)).otherwise(F.col(c))
