@@ -39,7 +39,8 @@ def near_duplicates(docs):
             holders[x].append(i)
     both = Counter((a, b) for ids in holders.values() for k, a in enumerate(ids) for b in ids[k + 1 :])
     links = [(a, b) for (a, b), n in both.items() if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n)]
-    return components(sets, links), {i: len(s) for i, s in sets.items()}
+    linked = Counter(x for pair in links for x in pair)
+    return components(sets, links), {i: len(s) for i, s in sets.items()}, {i: linked[i] for i in sets}
 
 
 def passages(docs, size=50, lower=True):

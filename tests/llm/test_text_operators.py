@@ -15,18 +15,29 @@ def by_id(df):
 
 def test_near_duplicates(docs, rows, scratch):
     got = by_id(jaccard.near_duplicates(docs, scratch))
-    component, sizes = brute.near_duplicates([(r[0], r[1]) for r in rows])
+    component, sizes, linked = brute.near_duplicates([(r[0], r[1]) for r in rows])
+    assert {i: r["n_links"] for i, r in got.items()} == linked
     assert {i: r["component_id"] for i, r in got.items()} == component
     assert {i: r["n_shingles"] for i, r in got.items()} == sizes
     assert len(set(component.values())) < len(component) - 35
 
 
 def test_near_duplicates_in_blocks(docs, rows, scratch, monkeypatch):
-    """Many small blocks of hosts and guests give the same groups."""
-    monkeypatch.setattr(jaccard, "BLOCK", 3)
-    monkeypatch.setattr(jaccard, "GUESTS", 2)
+    """Many small blocks of hosts and guests, small matrices and lists in parts give the same links."""
+    for name, n in (("BLOCK", 3), ("GUESTS", 2), ("DENSE", 500), ("LIST", 2), ("PAIRS", 2)):
+        monkeypatch.setattr(jaccard, name, n)
     got = by_id(jaccard.near_duplicates(docs, scratch))
-    assert {i: r["component_id"] for i, r in got.items()} == brute.near_duplicates([(r[0], r[1]) for r in rows])[0]
+    component, _, linked = brute.near_duplicates([(r[0], r[1]) for r in rows])
+    assert {i: r["component_id"] for i, r in got.items()} == component and {i: r["n_links"] for i, r in got.items()} == linked
+
+
+def test_near_duplicates_of_one_id(spark, scratch):
+    """Rows of one id are one node: what its texts are linked with is one component."""
+    a, b, c = ([f"{x}{k}" for k in range(40)] for x in "abc")
+    rows = [(5, a), (9, a), (7, b), (9, b), (11, c), (12, c), (12, []), (3, ["alone"]), (3, [])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in jaccard.near_duplicates(df, scratch).collect())
+    assert got == sorted([(5, 5, 1), (9, 5, 1), (7, 5, 1), (9, 5, 1), (11, 11, 1), (12, 11, 1), (12, 11, 0), (3, 3, 0), (3, 3, 0)])
 
 
 def test_near_duplicates_that_no_star_joins(spark, scratch):
@@ -39,9 +50,10 @@ def test_near_duplicates_that_no_star_joins(spark, scratch):
             for k in edits:
                 w[k + rng.randrange(8)] = f"w{rng.randrange(10**9)}"
             rows.append((len(rows), " ".join(w)))
-    want = brute.near_duplicates(rows)[0]
+    want, _, linked = brute.near_duplicates(rows)
     assert sum(want[i] != i for i in want) == 300
     got = by_id(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), scratch))
+    assert {i: r["n_links"] for i, r in got.items()} == linked
     assert {i: r["component_id"] for i, r in got.items()} == want
 
 
