@@ -135,7 +135,8 @@ def _compare(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, k:
     salts = pairs.groupBy("v").agg(F.ceil(F.count("*") / PAIRS).alias("salts"))
     salted = pairs.join(salts, "v").select("u", "v", F.pmod(F.xxhash64("u"), "salts").alias("salt"))
     many = texts.withColumnRenamed("doc_id", "v").join(salts, "v").select("v", F.col("text").alias("tv"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    both = salted.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u").join(many, ["v", "salt"])
+    # Texts are never broadcast, so that the plan is the same at every size.
+    both = salted.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")).hint("merge"), "u").join(many.hint("merge"), ["v", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,8 +193,8 @@ def _answers(open_: DataFrame, members: DataFrame, docs: DataFrame, scratch: Scr
     texts = scratch.table(_texts(docs, ids), "answer-texts", wide=True)
     parts = lambda df, most, name: df.groupBy("star").agg(F.ceil(F.greatest(F.count("*") / most, F.sum("n") / SHINGLES)).alias(name))
     sizes = scratch.table(parts(hosts, BLOCK, "blocks").join(parts(guests, GUESTS, "salts"), "star"), "answer-sizes")
-    host = hosts.join(sizes, "star").join(texts, "doc_id").select(F.col("star").alias("s"), F.pmod(F.xxhash64("doc_id"), "blocks").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("z"), F.col("doc_id").alias("id"), "m", F.col("text").alias("t"))
-    guest = guests.join(sizes, "star").join(texts.withColumnRenamed("doc_id", "v"), "v").select(F.col("star").alias("gs"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("gb"), F.pmod(F.xxhash64("v"), "salts").alias("gz"), F.col("v").alias("gid"), "own", "gm", F.col("text").alias("gt"))
+    host = hosts.join(sizes, "star").join(texts.hint("merge"), "doc_id").select(F.col("star").alias("s"), F.pmod(F.xxhash64("doc_id"), "blocks").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("z"), F.col("doc_id").alias("id"), "m", F.col("text").alias("t"))
+    guest = guests.join(sizes, "star").join(texts.withColumnRenamed("doc_id", "v").hint("merge"), "v").select(F.col("star").alias("gs"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("gb"), F.pmod(F.xxhash64("v"), "salts").alias("gz"), F.col("v").alias("gid"), "own", "gm", F.col("text").alias("gt"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         docs_, adds, links_ = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]

@@ -40,11 +40,19 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Parquet tables of one run. Writing one cuts lineage, and any executor can read it again."""
+    """Parquet tables of one run. Writing one cuts lineage, and any executor can read it again.
+
+    Results read the tables that are left, so these stay until ``clear``, or until who made the result asks ``sweep`` to
+    delete them, once it is written elsewhere.
+    """
+
+    #: Folders that were not cleared, in the order of their making.
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         bound_batches(spark)
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        Scratch.made.append(self)
 
     def table(self, df: DataFrame, name: str, wide: bool = False) -> DataFrame:
         """Write and reread. Unless ``wide`` (about as large as the input), in a file or two per core, not one per partition."""
@@ -57,12 +65,24 @@ class Scratch:
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         gc.collect()
         jvm.System.gc()  # Spark deletes the shuffle files of plans that are gone
 
 
+    def clear(self) -> None:
+        self.drop("")
+        Scratch.made = [x for x in Scratch.made if x is not self]
+
+
+def sweep(before: list[Scratch]) -> None:
+    """Delete all working tables but those that were there ``before``."""
+    for x in list(Scratch.made):
+        if x not in before:
+            x.clear()
+
+
 class Shared:
     """A broadcast of any object, pickled with its code, so that executors can read it without this package."""
 
