@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns the documents that it keeps, changed as it
 says; the last one returns where each document is packed.  A stage's result is written and read
-again as the next one's input.
+again as the next one's input.  Columns may be null, ids and rows may come twice, and tables may be
+empty: no documents give none, and without labels only the base rules reject.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.llm import jaccard, linededup, packing, quality_rules, suffix_dedup
-from gridloom.llm.store import Scratch, read, ship_by_value
+from gridloom.llm.store import Scratch, read, ship_by_value, sweep
 
 ship_by_value()
 
@@ -34,9 +35,17 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group that is linked by shingles; rows without an id stay."""
-    group = jaccard.near_duplicates(docs, Scratch(spark, "near"))
-    return docs.join(group.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group that is linked by shingles, that of smallest id (null ids last).
+
+    Rows count, not ids: of repeated rows one stays, and of an id with two texts each is judged by its own links.  Rows
+    without words are linked with nothing and stay.
+    """
+    scratch = Scratch(spark, "near")
+    rows = scratch.table(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered", wide=True)  # numbers hold once written
+    group = jaccard.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), scratch)
+    group = rows.select("__row", "doc_id").join(group.select(F.col("doc_id").alias("__row"), "component_id"), "__row")
+    first = group.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("x")).select("x.__row")
+    return rows.join(first, "__row", "left_semi").select(*docs.columns)
 
 
 def passage_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +74,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "pipeline"), read(spark, sf_dir, "documents")
+    before = list(Scratch.made)
     for k, (name, stage) in enumerate(STAGES):
         docs = scratch.table(stage(spark, docs, sf_dir), name, wide=True)
-        if k > 1:
-            scratch.drop(STAGES[k - 2][0])
+        sweep(before)  # the stage's working tables; its result stands elsewhere
+        if k:
+            scratch.drop(STAGES[k - 1][0])
     return docs
