@@ -2,6 +2,7 @@ import brute
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from gridloom.llm.store import Scratch
 
 
 def test_stages(spark, docs, rows, tmp_path):
@@ -38,3 +39,27 @@ def test_stages(spark, docs, rows, tmp_path):
             assert {i: brute.words(r["text"]) for i, r in got.items()} == {i: brute.words(t) for i, (t, _) in state.items()}
     assert docs.where(F.col("start") + F.col("n_words") % 2048 > 2048).count() == 0
     assert 60 < docs.count() < len(rows) - 80
+
+
+def test_near_duplicates_by_row(spark):
+    """Repeated rows are one, an id's other text stays, and of a group the smallest id."""
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(None, a), (9, a), (9, b), (5, a + " more"), (5, a + " more"), (7, None), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], (r["text"] or "")[:1]) for r in got.collect())) == [(5, "a"), (7, ""), (7, ""), (8, ""), (9, "b")]
+
+
+def test_whole_run(spark, docs, tmp_path):
+    """Repeated rows, null ids and texts, and no labels; and no documents at all."""
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    odd = docs.unionAll(docs.where("doc_id < 20")).unionAll(docs.where("doc_id < 3").withColumn("doc_id", F.lit(None).cast("long")))
+    for name, table in (("some", odd), ("none", docs.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        before = len(Scratch.made)
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        ids = [r["doc_id"] for r in got.collect()]
+        assert len(ids) == len(set(ids)) and (len(ids) > 60) == (name == "some")
+        assert len(Scratch.made) == before + 1
