@@ -76,6 +76,29 @@ def decode(gray: np.ndarray) -> str | None:
     return None
 
 
+def _variants(gray: np.ndarray) -> Iterator[np.ndarray]:
+    """The picture as it is, two and three times as large, smoothed along and across, and cut at other levels."""
+    yield gray
+    for k in (2, 3):
+        yield np.repeat(np.repeat(gray, k, axis=0), k, axis=1)
+    wide = gray.astype(float)
+    for axis in (1, 0):
+        smooth = sum(np.roll(wide, s, axis=axis) for s in (-1, 0, 1)) / 3
+        yield smooth.astype(np.uint8)
+    for level in (96, 128, 160):
+        yield np.where(gray <= level, 0, 255).astype(np.uint8)
+
+
+def decode_any(gray: np.ndarray) -> str | None:
+    """``decode`` of the picture, or else of its variants, until one has a valid symbol."""
+    return next((found for image in _variants(gray) if (found := decode(image))), None) if gray.ndim == 2 and gray.size else None
+
+
+def best_valid(found: list[str]) -> str | None:
+    """Of several readings, the first with a right check digit, else the first."""
+    return next((x for x in found if check_ok(x)), found[0] if found else None)
+
+
 def encode(digits: str, module: int = 2, height: int = 20, quiet: int = 10) -> np.ndarray:
     """The symbol of 13 digits as gray pixels."""
     flip = lambda b: "".join("10"[int(c)] for c in b)
@@ -91,6 +114,6 @@ def decode_pixels(pixels: Column, width: Column) -> Column:
     @F.pandas_udf("string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for data, widths in batches:
-            yield pd.Series([None if d is None or not w else decode(np.frombuffer(d, np.uint8).reshape(-1, w)) for d, w in zip(data, widths)], dtype=object)
+            yield pd.Series([None if d is None or not w else decode_any(np.frombuffer(d, np.uint8).reshape(-1, w)) for d, w in zip(data, widths)], dtype=object)
 
     return run(pixels, width)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import compare_key, trim_all, unique_column, values_equal
@@ -82,9 +83,10 @@ def compare_by_key(extracted: DataFrame, existing: DataFrame, key: tuple[str, st
 
 def ordinals(df: DataFrame, buckets: int = 256) -> DataFrame:
     """Number rows 1.. in the order of ``ord``: counts per range come first, so no task sees all rows."""
-    part = df.repartitionByRange(buckets, "ord").withColumn("_part", F.spark_partition_id()).sortWithinPartitions("ord")
+    # Both uses read the one partitioning that is kept: ranges of a second one could be cut elsewhere.
+    part = df.repartitionByRange(buckets, "ord").withColumn("_part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    sums = part.groupBy("_part").count()
     part = part.withColumn("_in", F.row_number().over(W.partitionBy("_part").orderBy("ord")))
-    sums = df.repartitionByRange(buckets, "ord").groupBy(F.spark_partition_id().alias("_part")).count()
     before = sums.select("_part", (F.sum("count").over(W.orderBy("_part")) - F.col("count")).alias("_before"))
     return part.join(F.broadcast(before), "_part").withColumn("row", F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
 
@@ -93,17 +95,34 @@ def compare_by_position(extracted: DataFrame, ground: DataFrame) -> tuple[DataFr
     """(row, column, extracted, ground_truth) of the cells that differ; and matches per common column.
 
     Names match stripped and in lower case; both sides have ``row`` from 1. A null extracted value
-    is the text 'nan', as a text it never equals an empty one.
+    is the text 'nan', as a text it never equals an empty one.  Without a common column both results are empty.
     """
     low = lambda df: {c.strip().lower(): c for c in df.columns if c not in ("ord", "row")}
     a, b = low(extracted), low(ground)
     common = sorted(set(a) & set(b))
-    if not common:
-        raise ValueError("No common columns found between extracted and ground truth data.")
     left = extracted.select("row", *[trim_all(F.coalesce(_q(a[c]).cast("string"), F.lit("nan"))).alias(f"a{k}") for k, c in enumerate(common)])
     right = ground.select("row", *[trim_all(F.coalesce(_q(b[c]).cast("string"), F.lit(""))).alias(f"b{k}") for k, c in enumerate(common)])
     both = left.join(right, "row")
+    if not common:
+        return both.selectExpr("row", "'' as column", "'' as extracted", "'' as ground_truth").limit(0), both.selectExpr("'' as column", "row as matches", "row as total", "0d as accuracy").limit(0)
     cells = both.select("row", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"a{k}").alias("extracted"), F.col(f"b{k}").alias("ground_truth")) for k, c in enumerate(common)])).alias("x")).select("row", "x.*")
     same = F.count_if(F.col("extracted") == F.col("ground_truth"))
     columns = cells.groupBy("column").agg(same.alias("matches"), F.count("*").alias("total"), F.bround(same / F.count("*") * 100, 2).alias("accuracy"))
     return cells.where(F.col("extracted") != F.col("ground_truth")), columns
+
+
+def position_summary(extracted: DataFrame, ground: DataFrame) -> DataFrame:
+    """One row of counts of a comparison by position (see ``compare_by_position``), with what is said about it."""
+    differ, columns = compare_by_position(extracted, ground)
+    wrong = differ.agg(F.count_distinct("row").alias("mismatched"))
+    n = extracted.agg(F.count("*").alias("a")).crossJoin(ground.agg(F.count("*").alias("b"))).crossJoin(wrong).crossJoin(columns.agg(F.count("*").alias("common")))  # one row each
+    some, compared = F.col("common") > 0, F.least("a", "b")
+    matched = F.when(some, compared - F.col("mismatched")).otherwise(0)
+    rate = F.coalesce(matched / F.nullif(F.when(some, compared), F.lit(0)) * 100, F.lit(0.0))
+    said = F.format_string("Compared %d rows across %d common columns. Row-level accuracy: %.2f%%. Matching rows: %d, Mismatched rows: %d.", compared, F.col("common"), rate, matched, F.col("mismatched"))
+    return n.select(
+        F.col("a").alias("total_rows_extracted"), F.col("b").alias("total_rows_ground"), matched.alias("matching_rows"), F.col("mismatched").alias("mismatched_rows"),
+        F.when(some, F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("extra_rows_extracted"), F.when(some, F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("extra_rows_ground"),
+        F.when(some, compared).alias("rows_compared"), F.bround(rate, 2).alias("accuracy_percent"),
+        F.when(some, said).otherwise("No common columns found between extracted and ground truth data.").alias("summary"),
+    )

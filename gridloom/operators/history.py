@@ -89,3 +89,18 @@ class History:
 
 def password_hash(c: Column) -> Column:
     return F.sha2(c, 256)
+
+
+def seed_user(history: History, username: str, password: str) -> bool:
+    """Add a user unless there is one of that name; says whether it was added."""
+    if not history.table("users").where(F.col("username") == username).isEmpty():
+        return False
+    digest = history.spark.range(1).select(password_hash(F.lit(password))).first()[0]
+    history.add("users", username=username, password_hash=digest)
+    return True
+
+
+def knows_user(history: History, username: str, password: str) -> bool:
+    """There is a user of that name with that password."""
+    mine = (F.col("username") == username) & (F.col("password_hash") == password_hash(F.lit(password)))
+    return not history.table("users").where(mine).isEmpty()

@@ -105,6 +105,21 @@ def extract(spark: SparkSession, folder: str, p: Profile = ACTIVE, corrections:
     return Extraction(in_order(kept), in_order(review), audit, proof, stats)
 
 
+def merge(tables: DataFrame, p: Profile = ACTIVE, corrections: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(kept, review) of all product tables, each by its own header: no geometry, no inherited schema, no pages."""
+    rows = table_rows(product_tables(promote_header(tables), p), p).persist()
+    aligned, left = clean_rows(rows.withColumn("page", F.lit(None).cast("int")), p)
+    done, order = fin.finalize(aligned, p, corrections).persist(), ["doc", "table_index", "row_idx"]
+    out = [f"`{c}`" for c in (*order, *p.output_columns, *fin.META)]
+    review = fin.review(done).select(*out, "reason", "issue_codes").unionByName(early_review(left, p).select(*out, "reason", "issue_codes"))
+    return fin.kept(done).select(*out).orderBy(*order), review.orderBy(*order)
+
+
+def replay(spark: SparkSession, folder: str, p: Profile = ACTIVE) -> tuple[DataFrame, DataFrame]:
+    """``merge`` over the stored pages of a document, without recognising anything again."""
+    return merge(src.read_tables(src.read_pages(spark, folder)), p)
+
+
 class IncompleteExtraction(Exception):
     """Rows of the source are missing from the output."""
 

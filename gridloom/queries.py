@@ -15,6 +15,8 @@ from .functions import headers, text as tx, validate as va
 from .functions.profile import ACTIVE, AMOUNT, DEAL_PATTERNS, HEADER_NAMES, OUTPUT_COLUMNS, PRICE
 from .operators import barcode, compare, finalize as fin, geometry as geo, groups, history, reconcile as rec, rows as rw, tables as tb
 from .sources.htmltable import with_tables
+from .plans import outputs
+from .sources import textlayer
 from .sources.spread import spread
 from .sources.pages import page_number, prune_pages
 
@@ -568,6 +570,45 @@ def barcode_scanline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("i", draw("ean")).select("ord", barcode.decode_pixels(F.col("i.pixels"), F.col("i.width")).alias("value"))
 
 
+@query("""with w as (select doc_id, unnest(string_split(coalesce(text, ''), ' ')) as word from documents), c as (select doc_id, count(*) as n_words, count(*) filter (where contains(word, '###') or contains(word, '(cid:')) as bad from w group by doc_id) select doc_id, n_words, n_words >= 25 and bad * 1.0 / n_words < 0.02 as usable from c""")
+def usable_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as text layers; what is ### in them stands for a letter that could not be read."""
+    word = F.explode(F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("###"), F.lit("\ufffd")), " ")).alias("text")
+    return textlayer.usable_layers(_read(spark, sf_dir, "documents").select("doc_id", word), ["doc_id"])
+
+
+@query("""with i as (select l_orderkey as k, l_linenumber as n, case when l_linenumber % 2 = 0 then 'l' else 're' end as kind, cast(l_partkey % 50 as double) as x0, cast(l_suppkey % 50 as double) as y0, l_partkey % 50 + l_quantity * 1.0 as x1, l_suppkey % 50 + round(l_discount * 10, 0) as y1 from lineitem),
+d as (select *, abs(x1 - x0) as dx, abs(y1 - y0) as dy from i), r as (select *, case when dx >= 12 and ((kind = 'l' and dy < 0.6) or (kind = 're' and dy <= 1.6)) then 'h' when dy >= 12 and ((kind = 'l' and dx < 0.6) or (kind = 're' and dx <= 1.6)) then 'v' end as way from d)
+select k, n, way, case when way = 'h' then case when kind = 'l' then y0 else (y0 + y1) / 2 end else case when kind = 'l' then x0 else (x0 + x1) / 2 end end as "at", case when way = 'h' then least(x0, x1) else least(y0, y1) end as "from", case when way = 'h' then greatest(x0, x1) else greatest(y0, y1) end as "to" from r where way is not null""")
+def drawn_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as drawn lines and rectangles."""
+    x0, y0 = (F.col("l_partkey") % 50).cast("double"), (F.col("l_suppkey") % 50).cast("double")
+    kind = F.when(F.col("l_linenumber") % 2 == 0, "l").otherwise("re")
+    items = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), kind.alias("kind"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("l_quantity")).alias("x1"), (y0 + F.round(F.col("l_discount") * 10, 0)).alias("y1"))
+    return textlayer.drawn_rules(items, ["k", "n"])
+
+
+@query('''select p_partkey as doc, cast(k as int) as line_no, case k when 0 then 'a,"b ""x"""' when 1 then case when contains(p_name, ',') then '"' || p_name || '"' else p_name end || ',"' || p_brand || ', ""x"""' else ',' || p_size end as line from part, (select unnest([0, 1, 2]) as k)''')
+def raw_table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of two rows for each part, as the lines of its CSV file."""
+    quote = F.concat("p_brand", F.lit(', "x"'))
+    grid = F.array(F.array("p_name", quote), F.array(F.lit(None).cast("string"), F.col("p_size").cast("string")))
+    tables = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), F.lit(1).alias("table_index"), F.array(F.lit("a"), F.lit('b "x"')).alias("columns"), grid.alias("grid"))
+    return outputs.raw_lines(tables).select("doc", "line_no", "line")
+
+
+@query("""with w as (select o_orderkey as word, o_custkey % 20 as page, cast(o_orderkey % 1000 as double) as x, cast(o_custkey % 700 as double) as y from orders),
+b as (select s_suppkey as box_id, s_suppkey % 20 as page, s_suppkey % 900 as x0, s_suppkey % 600 as y0, s_suppkey % 900 + 60 as x1, s_suppkey % 600 + 40 as y1 from supplier)
+select box_id, count(*) as n, min(word) as first from w join b on w.page = b.page and x + 5 between x0 and x1 and y + 5 between y0 and y1 group by box_id""")
+def words_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as words on twenty pages, suppliers as boxes."""
+    x, y = (F.col("o_orderkey") % 1000).cast("double"), (F.col("o_custkey") % 700).cast("double")
+    words = _read(spark, sf_dir, "orders").select(F.lit("d").alias("doc"), (F.col("o_custkey") % 20).alias("page"), F.col("o_orderkey").alias("word"), x.alias("x0"), y.alias("y0"), (x + 10).alias("x1"), (y + 10).alias("y1"))
+    s = F.col("s_suppkey")
+    boxes = _read(spark, sf_dir, "supplier").select(F.lit("d").alias("doc"), (s % 20).alias("page"), s.alias("box_id"), (s % 900).alias("bx0"), (s % 600).alias("by0"), (s % 900 + 60).alias("bx1"), (s % 600 + 40).alias("by1"))
+    return geo.words_in_boxes(words, boxes).groupBy("box_id").agg(F.count("*").alias("n"), F.min("word").alias("first"))
+
+
 _REBUILT = "count(*) over (partition by page) > 1 or regexp_full_match(code, 'M\\d{3,9}')"
 
 

@@ -40,6 +40,19 @@ def blocks(pages: DataFrame, label: str | None = None) -> DataFrame:
     return out if label is None else out.where(F.col("block_label") == label)
 
 
+def html_tables(pages: DataFrame) -> DataFrame:
+    """The blocks of any label whose content has a table in HTML."""
+    return blocks(pages).where(F.contains(F.lower(F.coalesce("block_content", F.lit(""))), F.lit("<table")))
+
+
+def table_by_index(tables: DataFrame, doc: str, index: int) -> DataFrame:
+    """The one table of a document with this number; an error if the document or the number is gone."""
+    out = tables.where((F.col("doc") == doc) & (F.col("table_index") == index))
+    if out.isEmpty():
+        raise LookupError(f"no table {index} in {doc!r}")
+    return out
+
+
 def page_header(block_list: Column) -> Column:
     """All header blocks with text, joined; null without any."""
     texts = F.transform(F.filter(block_list, lambda b: b["block_label"] == "header"), lambda b: trim_all(F.coalesce(b["block_content"], F.lit(""))))

@@ -37,7 +37,11 @@ def load_merged(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[c.removeprefix("\ufeff") for c in df.columns])
 
 
-def preview(df: DataFrame, rows: int = 5) -> tuple[list[str], DataFrame]:
+#: Rows that are shown of an upload, an extraction, and a report; fixed values.
+PREVIEW = {"upload": 5, "extract": 50, "report": 100}
+
+
+def preview(df: DataFrame, rows: int = PREVIEW["upload"]) -> tuple[list[str], DataFrame]:
     return df.columns, df.limit(rows)
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import headers, text as tx, validate as va
 from gridloom.functions.profile import OUTPUT_COLUMNS
-from gridloom.operators import barcode, compare, finalize as fin, geometry as geo, groups, rows as rw
+from gridloom.operators import barcode, compare, finalize as fin, geometry as geo, groups, history, rows as rw, tables as tb
 from gridloom.operators.history import History
-from gridloom.plans import extract as plan
+from gridloom.plans import extract as plan, outputs
 from gridloom.sources import htmltable, pages, sheets
 from gridloom.streaming.intake import page_stream, run_batches
 
@@ -340,3 +340,79 @@ def test_entry_without_the_llm_folder(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'kept_rows' in q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)})
+
+
+def test_outputs(spark, document, tmp_path):
+    got = plan.extract(spark, str(document))
+    made = outputs.write_extraction(got, str(tmp_path), "my doc")
+    assert sorted(made) == ["audit", "kept", "rejected"] and (tmp_path / "my doc.csv").read_bytes().startswith(b"\xef\xbb\xbfImage,Product Description")
+    assert sheets.load_merged(spark, made["kept"]).count() == 3
+    tables = tb.promote_header(pages.read_tables(pages.read_pages(spark, str(document))))
+    outputs.write_raw_tables(tables, f"{tmp_path}/individual")
+    files = sorted((tmp_path / "individual").glob("doc=*/table_index=*/part-*"))
+    assert len(files) == 3 and files[2].read_text() == "0,1\na,b\n"
+    assert pages.table_by_index(tables, "my doc", 2).count() == 1
+    with pytest.raises(LookupError):
+        pages.table_by_index(tables, "my doc", 9)
+    assert pages.html_tables(pages.read_pages(spark, str(document))).count() == 3
+
+
+def test_sidecars_are_replaced_by_document(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame(list(x), "doc string, page int, sidecar string")
+    outputs.write_sidecars(rows(("a", 1, "x"), ("a", 2, "x"), ("b", 1, "x")), f"{tmp_path}/s")
+    outputs.write_sidecars(rows(("a", 1, "y")), f"{tmp_path}/s")
+    assert sorted((r["doc"], r["page"], r["sidecar"]) for r in spark.read.parquet(f"{tmp_path}/s").collect()) == [("a", 1, "y"), ("b", 1, "x")]
+
+
+def test_replay(spark, document):
+    kept, review = plan.replay(spark, str(document))
+    assert [r["Midas Code"] for r in kept.collect()] == ["M123450", "M123451"] and review.count() == 0
+
+
+def test_compare_a_file(spark, tmp_path):
+    (tmp_path / "mine.csv").write_text("code,deal\nM1,50P\nM2,NA\nM9,x\n")
+    extracted = spark.createDataFrame([(1, "M1", "50P"), (2, "M2", ""), (3, "M3", "9P")], "ord int, Code string, Deal string")
+    kept = history.History(spark, f"{tmp_path}/h")
+    record = kept.add("extraction_records", filename="../My pack (1).pdf")
+    made, number = outputs.compare_file(spark, extracted, f"{tmp_path}/mine.csv", '{"extracted": "Code", "existing": "code"}', '[{"extracted": "Deal", "existing": "deal"}]', kept, record, str(tmp_path))
+    assert made.summary.first()["matching_rows"] == 2 and kept.comparisons().first()["filename"] == "../My pack (1).pdf"
+    assert (tmp_path / f"comparison_{number}_My_pack_1_existing-data.xlsx").exists() and (tmp_path / f"comparison_{number}_My_pack_1_only-in-extracted.xlsx").exists()
+    for bad in ("no", "[]", '{"extracted": "a"}', '{"extracted": "", "existing": "b"}'):
+        with pytest.raises(ValueError):
+            outputs.parse_pair(bad, "key")
+    for bad in ("{}", "[]", "[1]"):
+        with pytest.raises(ValueError):
+            outputs.parse_pairs(bad, "fields")
+    assert outputs.file_stem("a/§") == "document" and outputs.safe_name("../x.pdf") == "x.pdf"
+
+
+def test_users(spark, tmp_path):
+    kept = history.History(spark, f"{tmp_path}/h")
+    assert history.seed_user(kept, "admin", "secret") and not history.seed_user(kept, "admin", "other")
+    assert history.knows_user(kept, "admin", "secret") and not history.knows_user(kept, "admin", "other")
+
+
+def test_position_summary(spark):
+    a = spark.createDataFrame([(1, "x", "1"), (2, "y", "2"), (3, "z", "3")], "row int, A string, b string")
+    b = spark.createDataFrame([(1, "x", "1"), (2, "y", "9")], "row int, a string, B string")
+    got = compare.position_summary(a, b).first()
+    assert (got["rows_compared"], got["matching_rows"], got["extra_rows_extracted"], got["extra_rows_ground"], got["accuracy_percent"]) == (2, 1, 1, 0, 50.0)
+    assert got["summary"] == "Compared 2 rows across 2 common columns. Row-level accuracy: 50.00%. Matching rows: 1, Mismatched rows: 1."
+    none = compare.position_summary(a, b.select("row", F.col("a").alias("other"))).first()
+    assert none["summary"].startswith("No common columns") and none["rows_compared"] is None and none["accuracy_percent"] == 0
+
+
+def test_fallback_decoding():
+    image = barcode.encode(EAN, 3).astype(float)
+    gray = (60 + image * 0.5).astype(np.uint8)
+    assert barcode.decode_any(gray) == EAN and barcode.decode_any(np.zeros((0, 5), np.uint8)) is None
+    assert barcode.best_valid(["1", EAN]) == EAN and barcode.best_valid(["1", "2"]) == "1" and barcode.best_valid([]) is None
+
+
+def test_barcodes_and_ticks_in_the_page_pass():
+    head = HEAD + [("EAN", 350, 0, 30), ("Barcode", 350, 12, 40), ("Leaflet", 560, 0, 30)]
+    w = _words(head + [("A", 10, 30, 40), ("M123456", 300, 30, 40), ("4006381333931", 350, 30, 60), ("50P", 450, 30, 40)])
+    made, _ = geo.sidecar(1, w, [], [], [(0, -5, 620, 60)], None, None, bars=[(EAN, 380.0, 35.0)], inks=[(575.0, 35.0, 0.3)])
+    row = made["tables"][0]["rows"][0]
+    assert row["cells"]["EAN Barcode"] == "4006381333931" and row["flags"] == ["ean_conflict"] and row["alt"] == {"EAN Barcode": EAN}
+    assert row["cells"]["Leaflet"] == "Yes"
