@@ -1,4 +1,4 @@
-"""Counts of hashes over all documents, in packed blocks, as a bitmap of fixed size.
+"""Counts of hashes over all documents, in packed blocks, as a bitmap of bounded size.
 
 A hash goes to a bucket and is known there by 32 more bits.  Each bucket counts its own hashes and
 answers with its part of the bitmap of what came twice or more, and with its commonest hashes.
@@ -15,8 +15,11 @@ from pyspark.sql import DataFrame
 
 from . import textkit as tk
 
-#: Bits of the bitmap (8 MB), and commonest hashes that are kept (2 MB), whatever the input.
-BITS, MAX_COMMON = 1 << 26, 1 << 18
+#: Bits of the bitmap: one for four bytes of input, between 8 and 128 MB. Beyond, it fills up and lets more pass, which
+#: costs time and changes no result. Commonest hashes that are kept: 2 MB.
+LEAST_BITS, MOST_BITS, MAX_COMMON = 1 << 26, 1 << 30, 1 << 18
+#: Sizes from here on mean that Spark has no estimate.
+UNKNOWN = 1 << 60
 BUCKETS = 128
 
 
@@ -57,6 +60,11 @@ def _spots(code: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((code.astype(np.uint64) * tk.U64(m) >> tk.U64(20)) % tk.U64(bits)).astype(np.int64) for m in (0x9E3779B1, 0x85EBCA6B)]
 
 
+def bits_for(size: int) -> int:
+    """Bits of a bitmap for an input of ``size`` bytes, a power of two."""
+    return LEAST_BITS if size >= UNKNOWN else min(MOST_BITS, max(LEAST_BITS, 1 << (size // 4).bit_length()))
+
+
 def count(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], over: int = 1 << 31, buckets: int = BUCKETS) -> Counted:
     """Count the arrays of hashes that ``hashes`` makes of each batch of ``docs``."""
 
@@ -81,7 +89,8 @@ def count(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarra
         if size:
             yield out()
 
-    bits = max(8, BITS // buckets)
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    bits = max(8, bits_for(size) // buckets)
     most = max(1, MAX_COMMON // buckets)
 
     def tally(table: pa.Table) -> pa.Table:

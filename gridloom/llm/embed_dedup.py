@@ -2,7 +2,8 @@
 
 Equal vectors are one class first.  Each tree splits at the median of a random projection; vectors
 close to the split (by rank) go to both sides.  The trees are fitted on a bounded sample and route
-every class.  Within a leaf all cosines are computed in double precision, in blocks.  A pair that
+every class; they are as deep as the number of classes asks.  Below the level where a node has hardly
+a sample vector left, a level splits all its nodes where its projection splits the whole sample.  Within a leaf all cosines are computed in double precision, in blocks.  A pair that
 meets in several leaves counts in the first of them only, so links are counted without listing
 pairs: a leaf gives one row per vector, its links there and the smallest vector it reaches there.
 
@@ -29,7 +30,8 @@ from .store import Scratch, Shared
 COSINE, TREES, LEAF, SPILL = 0.95, 10, 256, 0.06
 #: Vectors that the trees are fitted on, at most (those that hash lowest). Every vector is routed.
 SAMPLE = 40_000
-MAX_DEPTH = 13
+#: Sample vectors of a node that is split by them, at least.
+FIT = 8
 BLOCK = 1024
 #: Hosts are nearer to their pivot than this many times the angle of a link.
 REACH = 1.5
@@ -42,16 +44,17 @@ class Forest:
 
     def __init__(self, sample: np.ndarray, total: int, trees: int, leaf: int, spill: float, seed: int = 11):
         rng = np.random.Generator(np.random.PCG64(seed))
-        depth = 0
-        while (total >> depth) > leaf and depth < MAX_DEPTH and (len(sample) >> depth) > 8:
-            depth += 1
-        self.trees, self.depth, self.dim = trees, depth, sample.shape[1]
+        depth = next(d for d in range(64) if (total >> d) <= leaf)
+        fitted = next(d for d in range(depth + 1) if d == depth or (len(sample) >> d) <= FIT)
+        self.trees, self.depth, self.fitted, self.dim = trees, depth, fitted, sample.shape[1]
         self.directions = rng.standard_normal((trees, depth, self.dim))
-        self.low = np.zeros((trees, 1 << depth))
+        #: Of deeper levels, by tree: low, mid and high of the whole sample.
+        self.whole = np.quantile(np.einsum("nd,tld->tln", sample, self.directions[:, fitted:]), [0.5 - spill, 0.5, 0.5 + spill], axis=2) if len(sample) else np.zeros((3, trees, depth - fitted))
+        self.low = np.zeros((trees, 1 << fitted))
         self.mid, self.high = self.low.copy(), self.low.copy()
         for t in range(trees):
             parts = {1: np.arange(len(sample))}
-            for level in range(depth):
+            for level in range(fitted):
                 down: dict[int, np.ndarray] = {}
                 for node, rows in parts.items():
                     p = sample[rows] @ self.directions[t, level]
@@ -67,14 +70,15 @@ class Forest:
             rows, node = np.arange(len(x)), np.ones(len(x), np.int64)
             for level in range(self.depth):
                 p = (x @ self.directions[t, level])[rows]
-                left, right = p <= self.high[t, node], p >= self.low[t, node]
+                low, mid, high = (x[t, node] for x in (self.low, self.mid, self.high)) if level < self.fitted else self.whole[:, t, level - self.fitted]
+                left, right = p <= high, p >= low
                 left |= ~right
                 # A span without extent holds its ties on both sides only where the sample had ties.
-                same = self.low[t, node] == self.high[t, node]
-                left, right = np.where(same, p < self.mid[t, node], left), np.where(same, p >= self.mid[t, node], right)
+                same = low == high
+                left, right = np.where(same, p < mid, left), np.where(same, p >= mid, right)
                 rows, node = np.concatenate([rows[left], rows[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
             who.append(rows)
-            codes.append((np.int64(t) << 32) + node)
+            codes.append((np.int64(t) << 48) + node)
         return np.concatenate(who), np.concatenate(codes)
 
 
@@ -116,7 +120,7 @@ def _angle(cosine: float) -> float:
 
 def _pivots(x: np.ndarray, total: int, leaf: int, cosine: float) -> np.ndarray:
     """Vectors of the sample with about as many links as a quarter of a leaf holds, none near another."""
-    many = max(4, max(leaf, total >> MAX_DEPTH) * len(x) // total // 4)
+    many = max(4, leaf * len(x) // total // 4)
     near, rough = np.cos(min(np.pi, REACH * _angle(cosine))), x.astype(np.float32)
     found, free = [], np.ones(len(x), bool)
     for at in range(0, len(x), 256):

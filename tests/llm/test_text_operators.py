@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, classifier, jaccard, linededup, packing, quality_rules, sharding, suffix_dedup
+from gridloom.llm import bpe, classifier, counting, jaccard, linededup, packing, quality_rules, sharding, suffix_dedup
 
 
 def by_id(df):
@@ -164,6 +164,19 @@ def test_learned_rules(spark, docs, rows, scratch):
     assert whole.select("row.*").columns == docs.columns
 
 
+def test_verdicts_are_those_of_the_rules(spark, docs, rows, scratch):
+    """The conditional expression against the same list of rules in plain Python, first rule that holds."""
+    labels = spark.createDataFrame([(r[0], int("###" not in (r[1] or "") and r[0] % 7 > 0)) for r in rows], "doc_id long, quality int")
+    out, rules = quality_rules.judge(docs, labels, scratch)
+    hand = [(quality_rules.Term("n_words", True, 100.0), quality_rules.Term("word_chars", False, 700.0)), (quality_rules.Term("n_symbols", True, 0.0),), *rules]
+    for some in (rules, hand, []):
+        for r in out.withColumn("said", quality_rules.verdict(some)).collect():
+            want = next((k for k, rule in enumerate(some, 1) if all((r[t.measure] > t.cut) == t.above for t in rule)), 0)
+            assert r["said"] == want
+            if some is rules:
+                assert r["rule"] == want and r["kept"] == (not r["base_failed"] and not want)
+
+
 def test_classifier(spark, docs, rows, scratch):
     junk = {r[0] for r in rows if "###" in (r[1] or "")}
     labels = spark.createDataFrame([(r[0], 0 if r[0] in junk else 1) for r in rows] + [(3, None)], "doc_id long, quality int")
@@ -206,6 +219,33 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert bins.tolist() == [0, 1, 1, 0, 2]
 
 
+def _best_fit(items, capacity, per_source):
+    """Each item in the bin with the least room that holds it, has not its cluster, and has its source less than so often."""
+    bins = []
+    for n, s, c in items:
+        fit = [(b["room"], k) for k, b in enumerate(bins) if b["room"] >= n and (c < 0 or c not in b["c"]) and (s < 0 or b["s"].count(s) < per_source)]
+        k = min(fit)[1] if fit else len(bins)
+        if not fit:
+            bins.append({"room": capacity, "c": set(), "s": []})
+        bins[k]["room"] -= n
+        bins[k]["c"].add(c)
+        bins[k]["s"].append(s)
+        yield k, capacity - bins[k]["room"] - n
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_packing_is_best_fit(seed):
+    rng = random.Random(seed)
+    items = sorted(((rng.randrange(0, 100), rng.choice([-1, 0, 0, 0, 1, 2]), rng.choice([-1, -1, 0, 1, 2, 3])) for _ in range(400)), reverse=True)
+    columns = [np.array(c) for c in zip(*items)]
+    bins, starts = packing.pack_group(*columns, 100, 2)
+    assert list(zip(bins.tolist(), starts.tolist())) == list(_best_fit(items, 100, 2))
+
+
+def test_bitmaps_grow_with_the_input():
+    assert [counting.bits_for(n) for n in (0, 1 << 20, 1 << 29, 1 << 31, 1 << 50, 1 << 62)] == [1 << 26, 1 << 26, 1 << 28, 1 << 30, 1 << 30, 1 << 26]
+
+
 def test_sharding(docs, rows, scratch):
     df = docs.unionAll(docs.where("doc_id = 5")).unionAll(docs.where("doc_id = 7").withColumn("doc_id", F.lit(None).cast("long")))
     got = sharding.shard(df, scratch).collect()

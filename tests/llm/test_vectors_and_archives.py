@@ -77,6 +77,19 @@ def test_embeddings_of_a_large_group(spark, scratch, monkeypatch, total):
     assert all(got[k]["component_id"] == want[k] for k in range(total))
 
 
+def test_trees_deeper_than_their_sample(spark, scratch):
+    """Levels below those that the sample fits split further, and links are still found."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((6000, 32))
+    x[3000:] = x[:3000] + 0.03 * rng.standard_normal((3000, 32))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(df, scratch, leaf=64, sample=150).collect()}
+    forest = embed_dedup.Forest(x[:150] / np.linalg.norm(x[:150], axis=1, keepdims=True), 6000, 10, 64, 0.06)
+    _, code = forest.leaves(x / np.linalg.norm(x, axis=1, keepdims=True))
+    assert forest.depth == 7 and forest.fitted == 5 and np.median(np.unique(code, return_counts=True)[1]) < 300
+    assert sum(got.values()) >= 0.9 * 6000 and max(got.values()) == 1
+
+
 def test_no_vectors(spark, scratch):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"), scratch).count() == 0
 
