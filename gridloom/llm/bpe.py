@@ -95,6 +95,7 @@ def chunks_of(data: np.ndarray, offsets: np.ndarray, chunk_words: int) -> Chunks
 #: With these steps, no character of a text changes or splits another one across ASCII white space (it
 #: composes with nothing, lower case is by character, no alternative matches white space), so words can be encoded apart.
 NORMALISERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
+PUNCTUATION = ".,;:!?"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -129,24 +130,28 @@ class Codec:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def learn(self, keys: list[int], words: list[bytes]) -> None:
-        """Encode words, those of letters only (one piece each) in runs that are cut where a piece ends."""
-        runs, size, rest = [[]], 0, []
+        """Encode words, those of letters only (one piece each), and with a mark at the end (two), in runs that are cut where a piece ends."""
+        plain: dict[int, list[tuple[int, bytes]]] = {1: [], 2: []}  # by pieces
+        rest = []
         for key, word in zip(keys, words):
-            if word.decode().isalpha():
-                if size > 1 << 14:
-                    runs, size = [*runs, []], 0
-                runs[-1].append((key, word))
-                size += len(word)
+            text = word.decode()
+            if text.isalpha():
+                plain[1].append((key, word))
+            elif text[:-1].isalpha() and text[-1] in PUNCTUATION:
+                plain[2].append((key, word))
             else:
                 rest.append((key, word))
-        for run in runs:
-            ids = self.ids(" ".join([w.decode() for _, w in run]))
-            cuts = np.flatnonzero(self.final[ids]) + 1
-            if len(cuts) == len(run):
-                flat, width = ids.tobytes(), ids.itemsize
-                self.words.update(zip((k for k, _ in run), (flat[width * a : width * b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist()))))
-            else:
-                rest += run
+        for pieces, some in plain.items():
+            for at in range(0, len(some), 2000):
+                run = some[at : at + 2000]
+                ids = self.ids(" ".join([w.decode() for _, w in run]))
+                # Each word makes so many pieces at least, so if all make that many times their number, each makes just that many.
+                cuts = np.flatnonzero(self.final[ids]) + 1
+                if len(cuts) == pieces * len(run):
+                    cuts, flat, width = cuts[pieces - 1 :: pieces].tolist(), ids.tobytes(), ids.itemsize
+                    self.words.update(zip((k for k, _ in run), (flat[width * a : width * b] for a, b in zip([0, *cuts[:-1]], cuts))))
+                else:
+                    rest += run
         self.words.update(zip((k for k, _ in rest), (x.tobytes() for x in self.encode_many([w for _, w in rest]))))
 
     def encode_runs(self, c: Chunks, first: np.ndarray, last: np.ndarray) -> list[bytes]:
