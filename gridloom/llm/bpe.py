@@ -274,7 +274,7 @@ def _apply(docs: DataFrame, path: str, scratch: Scratch, chunk_words: int, schem
     splits = max(1, int(total) // SPLIT_BYTES)
     own = F.xxhash64("doc_id", "text").alias("own")
     docs = docs.select("doc_id", "text", own).withColumn("split", F.pmod("own", F.lit(splits)))
-    found = Shared(spark, count(docs.select("text"), lambda batch: (chunks_of(d, o, chunk_words).k1 for _, _, d, o in tk.pieces(batch)), HOT))
+    found = Shared(spark, count(docs.select("text"), lambda batch: (chunks_of(d, o, chunk_words).k1 for _, _, d, o in tk.pieces(batch)), HOT, of=docs))
     names = [x.split(" ")[0] for x in schema.split(", ")]
     long = lambda x: pa.array(x.view(np.int64))
 

@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 
 from . import textkit as tk
 
-#: Bits of the bitmap: one for four bytes of input, between 8 and 128 MB. Beyond, it fills up and lets more pass, which
+#: Bits of the bitmap: one for eight bytes of input, between 8 and 64 MB. Beyond, it fills up and lets more pass, which
 #: costs time and changes no result. Commonest hashes that are kept: 2 MB.
-LEAST_BITS, MOST_BITS, MAX_COMMON = 1 << 26, 1 << 30, 1 << 18
+LEAST_BITS, MOST_BITS, MAX_COMMON = 1 << 26, 1 << 29, 1 << 18
 #: Sizes from here on mean that Spark has no estimate.
 UNKNOWN = 1 << 60
 BUCKETS = 128
@@ -62,11 +62,14 @@ def _spots(code: np.ndarray, bits: int) -> list[np.ndarray]:
 
 def bits_for(size: int) -> int:
     """Bits of a bitmap for an input of ``size`` bytes, a power of two."""
-    return LEAST_BITS if size >= UNKNOWN else min(MOST_BITS, max(LEAST_BITS, 1 << (size // 4).bit_length()))
+    return LEAST_BITS if size >= UNKNOWN else min(MOST_BITS, max(LEAST_BITS, 1 << (size // 8).bit_length()))
 
 
-def count(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], over: int = 1 << 31, buckets: int = BUCKETS) -> Counted:
-    """Count the arrays of hashes that ``hashes`` makes of each batch of ``docs``."""
+def count(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], over: int = 1 << 31, buckets: int = BUCKETS, of: DataFrame | None = None) -> Counted:
+    """Count the arrays of hashes that ``hashes`` makes of each batch of ``docs``; ``of`` is the table by whose size the bitmap is made.
+
+    Without it the bitmap has its least size: what joins make has no good estimate.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -89,7 +92,7 @@ def count(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarra
         if size:
             yield out()
 
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = int(of._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) if of is not None else 0
     bits = max(8, bits_for(size) // buckets)
     most = max(1, MAX_COMMON // buckets)
 

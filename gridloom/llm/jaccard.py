@@ -105,7 +105,7 @@ def _profile(docs: DataFrame, counted: Counted, k: int, percent: int) -> DataFra
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, text) of at least the ids: a bitmap of them goes to the texts, so that the others are never shuffled."""
-    found = Shared(docs.sparkSession, count(ids, lambda batch: iter([tk.mix(np.repeat(batch["doc_id"].drop_null().to_numpy().view(np.uint64), 2))])))
+    found = Shared(docs.sparkSession, count(ids, lambda batch: iter([tk.mix(np.repeat(batch["doc_id"].drop_null().to_numpy().view(np.uint64), 2))]), of=docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,7 +231,7 @@ def links(docs: DataFrame, scratch: Scratch, k: int = K, percent: int = PERCENT)
 
     The links connect just what all links connect; the counts are of all of them.
     """
-    whole = scratch.table(_profile(docs, count(docs.select("text"), lambda batch: _low(batch, k), COMMON), k, percent), "profile", wide=True)
+    whole = scratch.table(_profile(docs, count(docs.select("text"), lambda batch: _low(batch, k), COMMON, of=docs), k, percent), "profile", wide=True)
     prof = scratch.table(whole.select("doc_id", "n", "s1", "s2", F.col("listed").isNotNull().alias("live")), "ids")
     live = whole.where("listed is not null")
     reps = scratch.table(live.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("doc_id").alias("m")), "reps")

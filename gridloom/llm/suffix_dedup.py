@@ -164,7 +164,7 @@ def repeats(docs: DataFrame, scratch: Scratch, passage: int = PASSAGE, seed: int
     """(doc_id, tid, start, stop): the word ranges that go, by id and text; they may overlap."""
     docs = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("tid"), "text")
     spark = docs.sparkSession
-    found = Shared(spark, count(docs.select("text"), lambda batch: (x[3] for x in _suffixes(batch, passage, seed, fold))))
+    found = Shared(spark, count(docs.select("text"), lambda batch: (x[3] for x in _suffixes(batch, passage, seed, fold)), of=docs))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
