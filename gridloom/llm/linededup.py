@@ -7,6 +7,9 @@ document loses its boilerplate lines, newline included, whatever share of it the
 document without a word outside them stays whole: nothing of it would be left, so it is a copy of
 other documents, for the near-duplicate operators to judge, and no carrier of boilerplate.
 
+Lines are told apart by two hashes, 128 bits, so that no line goes because another one that happens
+to hash alike stands on many sites.
+
 A null source counts as the empty one, a null text stays null, and an empty one empty.
 """
 
@@ -22,55 +25,61 @@ from . import textkit as tk
 from .store import Scratch
 
 MIN_SITES, MIN_WORDS, SKETCH_K, BAND = 8, 4, 8, 0.25
-#: Hashes that may be broadcast: 8 MB. Longer lists are joined.
+#: Lines that may be broadcast: 16 MB. Longer lists are joined.
 BROADCAST_LINES = 1_000_000
+LINE = ["line", "line2"]
 
 
-def line_hashes(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, word counts and hashes (0: too short) of all lines, and each text's range among them."""
+def line_hashes(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, word counts, hashes (rows of two longs) and which lines are long enough, and each text's range among them."""
     starts, ends, bounds = tk.lines(data, offsets)
     ws, we, _, _ = tk.words(data, offsets, lower=False)
     a, b = np.searchsorted(ws, starts), np.searchsorted(ws, ends)
-    hashes, counted = np.zeros(len(starts), np.uint64), b - a >= min_words
-    hashes[counted] = tk.span_hashes(data, ws[a[counted]], we[b[counted] - 1])
-    return starts, ends, b - a, hashes, bounds
+    hashes, counted = np.zeros((len(starts), 2), np.int64), b - a >= min_words
+    for k, code in enumerate((tk.CODE, tk.OTHER)):
+        hashes[counted, k] = tk.span_hashes(data, ws[a[counted]], we[b[counted] - 1], code).view(np.int64)
+    return starts, ends, b - a, hashes, counted, bounds
 
 
 def _sites(docs: DataFrame, min_words: int) -> DataFrame:
-    """(line, site), once for each piece of a batch."""
+    """(line, line2, site), once for each piece of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             site = batch["site"].to_numpy()
             for first, last, data, offsets in tk.pieces(batch):
-                _, _, _, h, bounds = line_hashes(data, offsets, min_words)
-                who = np.repeat(site[first:last], np.diff(bounds))[h != 0]
-                pair = np.unique(np.stack([h[h != 0].view(np.int64), who]), axis=1) if len(who) else np.zeros((2, 0), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["line", "site"])
+                _, _, _, h, counted, bounds = line_hashes(data, offsets, min_words)
+                who = np.repeat(site[first:last], np.diff(bounds))
+                rows = np.column_stack([h, who])[counted]
+                order = np.lexsort(rows.T)
+                new = np.ones(len(rows), bool)
+                new[1:] = (rows[order][1:] != rows[order][:-1]).any(axis=1)
+                rows = rows[order][new]
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], ["line", "line2", "site"])
 
-    return docs.select("text", F.xxhash64(F.coalesce("source", F.lit(""))).alias("site")).mapInArrow(run, "line long, site long")
+    return docs.select("text", F.xxhash64(F.coalesce("source", F.lit(""))).alias("site")).mapInArrow(run, "line long, line2 long, site long")
 
 
 def boilerplate(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(line): the hashes of the lines on at least ``min_sites`` sites."""
+    """(line, line2): the hashes of the lines on at least ``min_sites`` sites."""
     rows = scratch.table(_sites(docs, min_words), "rows", wide=True)
     # A line needs as many rows as sites, so most lines never get a sketch.
-    often = scratch.table(rows.groupBy("line").count().where(F.col("count") >= min_sites).select("line"), "often")
-    rows = scratch.table(rows.join(often, "line", "left_semi"), "some")
-    guess = rows.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH_K)).alias("sites"))
+    often = scratch.table(rows.groupBy(LINE).count().where(F.col("count") >= min_sites).select(LINE), "often")
+    rows = scratch.table(rows.join(often, LINE, "left_semi"), "some")
+    guess = rows.groupBy(LINE).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH_K)).alias("sites"))
     guess = scratch.table(guess.where(F.col("sites") >= min_sites * (1 - BAND)), "guess")
     sure = F.col("sites") > min_sites * (1 + BAND)
-    exact = rows.join(guess.where(~sure), "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("sites"))
-    out = scratch.table(guess.where(sure).select("line").unionAll(exact.where(F.col("sites") >= min_sites).select("line")), "boilerplate")
+    exact = rows.join(guess.where(~sure), LINE, "left_semi").groupBy(LINE).agg(F.count_distinct("site").alias("sites"))
+    out = scratch.table(guess.where(sure).select(LINE).unionAll(exact.where(F.col("sites") >= min_sites).select(LINE)), "boilerplate")
     scratch.drop("rows", "often", "some", "guess")
     return out
 
 
 def _strip(data: np.ndarray, offsets: np.ndarray, gone, min_words: int) -> Iterator[tuple[bytes | None, int, int, int]]:
     """For each text: what is left (None: as it was), its lines, the lines and words that went. gone(hashes, text) -> mask."""
-    starts, ends, n, h, bounds = line_hashes(data, offsets, min_words)
+    starts, ends, n, h, counted, bounds = line_hashes(data, offsets, min_words)
     for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-        out = gone(h[a:b], k) & (h[a:b] != 0)
+        out = gone(h[a:b], k) & counted[a:b]
         cut = int(n[a:b][out].sum())
         if not cut or cut == int(n[a:b].sum()):
             yield None, b - a, 0, 0
@@ -78,22 +87,42 @@ def _strip(data: np.ndarray, offsets: np.ndarray, gone, min_words: int) -> Itera
             yield b"\n".join(data[s:e].tobytes() for s, e in zip(starts[a:b][~out].tolist(), ends[a:b][~out].tolist())), b - a, int(out.sum()), cut
 
 
+def _known(lines: list[tuple[int, int]]) -> np.ndarray:
+    """Rows of two longs in order."""
+    rows = np.array(lines, np.int64).reshape(-1, 2)
+    return np.asfortranarray(rows[np.lexsort((rows[:, 1], rows[:, 0]))])
+
+
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which rows of ``h`` are among the ``known`` ones."""
+    out, at, end = np.zeros(len(h), bool), np.searchsorted(known[:, 0], h[:, 0]), len(known) - 1
+    while end >= 0:
+        near = np.minimum(at, end)
+        same = (at <= end) & (known[near, 0] == h[:, 0])
+        if not same.any():
+            break
+        out |= same & (known[near, 1] == h[:, 1])
+        at = at + 1  # another known line may agree in the first hash
+    return out
+
+
 def dedup_lines(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """``docs`` with the text cleaned, and n_lines, lines_removed and words_removed."""
     lines = boilerplate(docs, scratch, min_sites, min_words)
     few = lines.count() <= broadcast_lines
     spark, listed = docs.sparkSession, None
     if few:
-        listed = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in lines.collect()], np.int64)))
+        listed = spark.sparkContext.broadcast(_known([tuple(r) for r in lines.collect()]))
     else:
         def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for first, last, data, offsets in tk.pieces(batch):
-                    _, _, _, h, bounds = line_hashes(data, offsets, min_words)
-                    who = np.repeat(np.arange(first, last), np.diff(bounds))[h != 0]
-                    yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(who)), pa.array(h[h != 0].view(np.int64))], ["doc_id", "line"])
+                    _, _, _, h, counted, bounds = line_hashes(data, offsets, min_words)
+                    who = np.repeat(np.arange(first, last), np.diff(bounds))[counted]
+                    yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(who)), pa.array(h[counted, 0]), pa.array(h[counted, 1])], ["doc_id", *LINE])
 
-        hits = docs.select("doc_id", "text").mapInArrow(held, "doc_id long, line long").join(lines, "line").groupBy("doc_id").agg(F.collect_set("line").alias("__gone"))
+        hits = docs.select("doc_id", "text").mapInArrow(held, "doc_id long, line long, line2 long").join(lines, LINE)
+        hits = hits.groupBy("doc_id").agg(F.collect_set(F.struct(*LINE)).alias("__gone"))
         docs = docs.join(hits, docs["doc_id"].eqNullSafe(hits["doc_id"]), "left").drop(hits["doc_id"])
 
     names = [c for c in docs.columns if c != "__gone"]
@@ -104,9 +133,9 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES, m
             for first, last, data, offsets in tk.pieces(batch):
                 texts, figures = [], []
                 if listed is not None:
-                    gone = lambda h, k: np.isin(h.view(np.int64), listed.value)
+                    gone = lambda h, k: _among(h, listed.value)
                 else:
-                    gone = lambda h, k, first=first: np.isin(h.view(np.int64), np.array(batch["__gone"][first + k].as_py() or [], np.int64))
+                    gone = lambda h, k, first=first: _among(h, _known([tuple(x.values()) for x in batch["__gone"][first + k].as_py() or []]))
                 for k, (text, *rest) in enumerate(_strip(data, offsets, gone, min_words)):
                     texts.append(given[first + k].as_py() if text is None else text.decode())
                     figures.append(rest)

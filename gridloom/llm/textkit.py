@@ -35,6 +35,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 SPACE, LOWER, CODE = _tables()
+#: Codes of a second hash, for what must not rest on a chance agreement.
+OTHER = mix(CODE + U64(0x2545F4914F6CDD1D))
 
 
 def powers(n: int) -> np.ndarray:
@@ -67,15 +69,15 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         first = last
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each byte span; spans are in order, non-empty and disjoint."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: np.ndarray = CODE) -> np.ndarray:
+    """A hash of each byte span; spans are in order, non-empty and disjoint. Other codes make another hash."""
     if not len(starts):
         return np.zeros(0, U64)
     length = ends - starts
     at = np.cumsum(length) - length
     inside = np.arange(int(length.sum())) - np.repeat(at, length)
     kept = data[inside + np.repeat(starts, length)]
-    return mix(np.add.reduceat(CODE[kept] * powers(int(length.max()))[inside], at) ^ (length.astype(U64) * U64(0xA0761D6478BD642F)))
+    return mix(np.add.reduceat(code[kept] * powers(int(length.max()))[inside], at) ^ (length.astype(U64) * U64(0xA0761D6478BD642F)))
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -391,3 +391,13 @@ def test_empty_tables(spark, none, scratch):
     pytest.importorskip("tokenizers")
     public = pytest.importorskip("public_tokenizers")
     assert bpe.digests(none, public.path("word_bpe_49k.json"), scratch).count() == 0
+
+
+def test_lines_that_agree_in_one_hash_are_told_apart():
+    known = linededup._known([(5, 1), (5, 2), (-7, 3)])
+    h = np.array([(5, 2), (5, 3), (-7, 3), (-7, 1), (9, 9), (0, 0)], np.int64)
+    assert linededup._among(h, known).tolist() == [True, False, True, False, False, False]
+    assert not linededup._among(h, linededup._known([])).any()
+    data = np.frombuffer("one two three four\nfour three two one".encode(), np.uint8)
+    _, _, _, hashes, counted, _ = linededup.line_hashes(data, np.array([0, len(data)]), 4)
+    assert counted.all() and len(np.unique(hashes)) == 4
