@@ -6,8 +6,10 @@ source; the search goes on to wider bins until one is compatible, else a bin is
 carry bitmaps of sources (one plane per document a source may have) and of duplicate clusters.
 
 Documents are dealt by a hash of their id into independent groups of about ``group_rows``, so a
-group's size does not depend on the source or the cluster; longest first in each.  A document of
-more than ``capacity`` words fills whole bins of its own (``n_full``) and its rest is packed.
+group's size does not depend on the source or the cluster; longest first in each.  Rows alike in
+id and text that are more than a group holds are dealt further, by their place in the table, so a
+table of repeated rows or of rows without ids and words is many groups too.  A document of more
+than ``capacity`` words fills whole bins of its own (``n_full``) and its rest is packed.
 
 Empty and null texts have no words and are packed as of length 0.  A null source or cluster
 is never in conflict.  Repeated rows are packed as often as they come.
@@ -27,6 +29,8 @@ from . import textkit as tk
 from .store import Scratch
 
 CAPACITY, PER_SOURCE, GROUP_ROWS = 2048, 2, 4096
+#: Keys of rows alike that may be broadcast: some 20 MB.
+BROADCAST_KEYS = 500_000
 
 
 def pack_group(length: np.ndarray, source: np.ndarray, cluster: np.ndarray, capacity: int, per_source: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +85,18 @@ def pack(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, per_sourc
     """(doc_id, n_words, n_full, pack_group, bin, start) for each row of ``items`` (doc_id, source, n_words, cluster)."""
     items = scratch.table(items.select("doc_id", "source", "n_words", "cluster"), "items", wide=True)
     groups = max(1, -(-items.count() // group_rows))
-    dealt = items.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(groups)))
+    alike = items.groupBy("doc_id", "cluster").count().where(F.col("count") > group_rows).select("doc_id", "cluster", F.lit(True).alias("many"))
+    alike = scratch.table(alike, "alike")
+    if alike.limit(1).count():
+        # Fewer than rows / group_rows; beyond what may be broadcast, adaptive execution splits the skewed side.
+        few = alike.count() <= BROADCAST_KEYS
+        names = items.columns
+        items = items.withColumn("place", F.monotonically_increasing_id()).alias("i")
+        same = F.col("i.doc_id").eqNullSafe(F.col("a.doc_id")) & F.col("i.cluster").eqNullSafe(F.col("a.cluster"))
+        items = items.join((F.broadcast(alike) if few else alike).alias("a"), same, "left").select(*[F.col(f"i.{c}") for c in names], F.when(F.col("many"), F.col("place")).alias("place"))
+    else:
+        items = items.withColumn("place", F.lit(None).cast("long"))
+    dealt = items.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "cluster", "place"), F.lit(groups))).drop("place")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(rest=pdf.n_words % capacity).sort_values(["rest", "cluster", "source", "doc_id"], ascending=[False, True, True, True], kind="stable", ignore_index=True)

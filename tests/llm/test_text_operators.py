@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import brute
 import numpy as np
@@ -401,3 +402,13 @@ def test_lines_that_agree_in_one_hash_are_told_apart():
     data = np.frombuffer("one two three four\nfour three two one".encode(), np.uint8)
     _, _, _, hashes, counted, _ = linededup.line_hashes(data, np.array([0, len(data)]), 4)
     assert counted.all() and len(np.unique(hashes)) == 4
+
+
+def test_packing_deals_rows_alike_to_many_groups(spark, scratch):
+    rows = [(None, "", "a")] * 700 + [(7, "same words here", None)] * 500 + [(k, f"words {k}", "b") for k in range(100)]
+    got = packing.pack(packing.lengths(spark.createDataFrame(rows, "doc_id long, text string, source string")), scratch, capacity=20, group_rows=50).collect()
+    assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in got) == sorted(-1 if r[0] is None else r[0] for r in rows)
+    sizes = Counter(r["pack_group"] for r in got)
+    assert len(sizes) > 20 and max(sizes.values()) < 150
+    bins = Counter((r["pack_group"], r["bin"]) for r in got if r["doc_id"] == 7 and r["n_words"] == 3)
+    assert max(bins.values()) == 1  # copies never share a bin
