@@ -3,7 +3,8 @@
 Equal vectors are one class first.  Each tree splits at the median of a random projection; vectors
 close to the split (by rank) go to both sides.  The trees are fitted on a bounded sample and route
 every class; they are as deep as the number of classes asks.  Below the level where a node has hardly
-a sample vector left, a level splits all its nodes where its projection splits the whole sample.  Within a leaf all cosines are computed in double precision, in blocks.  A pair that
+a sample vector left, a level splits all its nodes where its projection splits the whole sample.
+Within a leaf all cosines are computed in double precision, in blocks.  A pair that
 meets in several leaves counts in the first of them only, so links are counted without listing
 pairs: a leaf gives one row per vector, its links there and the smallest vector it reaches there.
 
@@ -235,7 +236,20 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE
 
 def _link_rows(classes: DataFrame, scratch: Scratch, trees: int, leaf: int, spill: float, sample: int, cosine: float) -> DataFrame:
     spark, out = classes.sparkSession, None
-    for size, total in classes.groupBy(F.size("v").alias("d")).count().collect():  # a row per vector length
+    lengths = scratch.table(classes.groupBy(F.size("v").alias("d")).count(), "lengths")
+    if lengths.where(F.col("count") <= leaf).limit(1).count():
+        # Lengths of one leaf: no tree splits them, so all of them are one plan, however many there are.
+        def alone(table: pa.Table) -> pa.Table:
+            order = np.argsort(table["rep"].to_numpy())
+            ids, weight = table["rep"].to_numpy()[order], table["n"].to_numpy()[order]
+            x = np.stack(table["v"].to_numpy())[order]
+            links, root = _leaf_links(ids, weight, x, 0, [np.zeros(1, np.int64)] * len(ids), cosine)
+            some = (links > 0) | (root != ids)
+            return pa.table({"rep": ids[some], "root": root[some], "links": links[some]})
+
+        few = classes.withColumn("d", F.size("v")).join(lengths.where(F.col("count") <= leaf), "d")
+        out = few.select("d", "rep", "n", "v").groupBy("d").applyInArrow(alone, "rep long, root long, links long")
+    for size, total in lengths.where(F.col("count") > leaf).collect():  # a row per vector length
         own = classes.where(F.size("v") == size).select("rep", "n", "k1", "v")
         first = own.orderBy(F.xxhash64("v"), "rep").limit(sample).select("v").toPandas()
         x = np.stack(first["v"].to_numpy())
