@@ -18,6 +18,7 @@ from .sources.htmltable import with_tables
 from .plans import outputs
 from .sources import textlayer
 from .sources.spread import spread
+from .sources import pages as src
 from .sources.pages import page_number, prune_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -654,3 +655,103 @@ def merge_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     df = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("page"), run("p_partkey", "p_size").alias("b"))
     return df.select("page", "b.n", "b.x0", "b.y0")
+
+
+# ---- page JSON, rebuilt rows, rule pieces ----------------------------------
+
+
+@query("""with b as (select *, turn % 3 <> 2 as numbered from conversations)
+select conv_id, arg_min(text, turn) filter (where role = 'system') as title, string_agg(text, ' | ' order by turn) filter (where role = 'assistant') as header,
+  coalesce(arg_max(text, turn) filter (where role = 'user' and numbered and turn < 4), 'Untitled Table') as heading, 'Untitled Table' as unplaced, cast(count(*) filter (where role = 'user') as bigint) as n_text from b group by conv_id""")
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as page JSON: systems are titles, users texts, assistants headers; the table in question comes fourth."""
+    label = F.when(F.col("role") == "system", "doc_title").when(F.col("role") == "user", "text").otherwise("header")
+    order = F.when(F.col("turn") % 3 != 2, F.col("turn")).cast("int")
+    block = F.struct(F.col("turn").alias("t"), label.alias("block_label"), F.concat(F.lit(" "), "text", F.lit("\n")).alias("block_content"), order.alias("block_order"))
+    made = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.sort_array(F.collect_list(block)).alias("parsing_res_list"))).alias("raw"))
+    parsed = made.select("conv_id", F.from_json("raw", src.PAGE).alias("p")).select("conv_id", "p.*")
+    own = F.col("parsing_res_list")
+    texts = src.blocks(parsed, "text").groupBy("conv_id").agg(F.count("*").alias("n_text"))
+    meta = parsed.select("conv_id", src.document_title(own).alias("title"), src.page_header(own).alias("header"), src.table_heading(own, F.lit(4)).alias("heading"), src.table_heading(own, F.lit(None).cast("int")).alias("unplaced"))
+    return meta.join(texts, "conv_id", "left").withColumn("n_text", F.coalesce("n_text", F.lit(0).cast("long")))
+
+
+@query(f"""with {PACK_SQL}, t as (select ord, page, description, unnest(case when ord % 5 = 0 then [1, 2] else [1] end) as frag from pack)
+select cast(page % 7 as varchar) as doc, cast(page as int) as page, cast(row_number() over (partition by page % 7 order by page, ord, frag) as int) as table_index, description as table_heading, 'sheet' as document_title, ord % 4 = 0 as boxed, 'cell ' || ord || ' ' || frag as first_cell from t""")
+def table_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text and a block of one or two tables for each row of pack, on pages of seven documents."""
+    cell = lambda k: F.concat(F.lit("<table><tr><td>cell "), F.col("ord").cast("string"), F.lit(f" {k}</td></tr></table>"))
+    html = F.when(F.col("ord") % 5 == 0, F.concat(cell(1), F.lit(" <br> "), cell(2))).otherwise(cell(1))
+    box = F.when(F.col("ord") % 4 == 0, F.array(*[F.lit(float(x)) for x in (1, 2, 3, 4)])).otherwise(F.array(F.lit(1.0)))
+    block = lambda label, content, order: F.struct(F.lit(label).alias("block_label"), content.alias("block_content"), order.cast("int").alias("block_order"), box.alias("block_bbox"))
+    own = pack(spark, sf_dir).select("page", F.struct("ord", F.array(block("text", F.col("description"), 2 * F.col("ord")), block("table", html, 2 * F.col("ord") + 1)).alias("b")).alias("x"))
+    title = F.array(F.struct(F.lit("doc_title").alias("block_label"), F.lit(" sheet ").alias("block_content"), F.lit(None).cast("int").alias("block_order"), F.lit(None).cast("array<double>").alias("block_bbox")))
+    blocks = F.concat(title, F.flatten(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["b"])))
+    pages = own.groupBy("page").agg(blocks.alias("parsing_res_list"))
+    file = F.concat(F.lit("page_"), F.lpad(F.col("page").cast("string"), 9, "0"), F.lit("_res.json"))
+    pages = pages.select((F.col("page") % 7).cast("string").alias("doc"), file.alias("file"), F.lit(None).cast("int").alias("page_index"), "parsing_res_list")
+    return src.read_tables(pages).select("doc", "page", "table_index", "table_heading", "document_title", F.col("bbox").isNotNull().alias("boxed"), _first_cell().alias("first_cell"))
+
+
+def _first_cell():
+    return F.get(F.get("grid", F.lit(0)), F.lit(0))
+
+
+@query(f"""with {PACK_SQL}, c as (select *, dense_rank() over (partition by page order by grp) - 1 as t, row_number() over (partition by page, grp order by ord) - 1 as r, page % 3 = 1 as ocr, deal as a, case when ord % 3 = 0 then deal when ord % 3 = 1 then '£6.00' else '' end as b from pack),
+v as (select *, a <> '' and {_is_deal('a')} and not {_FOREIGN.format(c='a')} as ga, {_is_deal('b')} as gb from c),
+w as (select *, case when ocr and b <> '' and a <> b and gb and not ga then b else a end as value, ocr and b <> '' and a <> b and ga and gb as clash from v where grp % 9 <> 0 and ord % 10 <> 3)
+select ord, cast(t as int) as table_index, cast(r as int) as row_idx, 'page-' || page || '-geometry-' || (t + 1) as source_table, case when ocr then 'ocr-two-pass' else 'text-layer' end as verified_by, code, value as deal,
+  concat_ws(',', case when ord % 6 = 0 then 'seen' end, case when clash then 'second_pass_disagrees' end, case when ord % 10 = 5 then 'blank_midas_product_row' end, case when ord % 4 = 0 and value = '' then 'deal_group_unresolved' end) as flags from w""")
+def geometry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of pack as rebuilt tables in sidecars, in three modes, with banners and tables without a layout."""
+    n = F.col("ord")
+    alt = F.when(n % 3 == 0, F.col("deal")).when(n % 3 == 1, "£6.00").otherwise("")
+    named = lambda *kv: F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in kv])
+    row = F.struct(
+        "ord", F.when(n % 10 == 3, "banner").when(n % 10 == 5, "blank_midas").otherwise("product").alias("kind"),
+        named("Midas Code", F.col("code"), "Consumer Deal", F.col("deal"), "Shelf", n.cast("string")).alias("cells"),
+        F.when(n % 6 == 0, F.array(F.lit("seen"))).alias("flags"), F.when(n % 4 == 0, "own-cell").otherwise("ruled").alias("deal_method"), named("Consumer Deal", alt).alias("alt"),
+    )
+    bare = lambda x: F.struct(*[x[c].alias(c) for c in ("kind", "cells", "flags", "deal_method", "alt")])
+    rows = F.transform(F.array_sort(F.collect_list(row), lambda x, y: (x["ord"] - y["ord"]).cast("int")), bare)
+    tables = pack(spark, sf_dir).groupBy("page", "grp").agg(rows.alias("rows"))
+    table = F.struct("grp", F.when(F.col("grp") % 9 != 0, "layout").alias("layout"), "rows")
+    made = tables.groupBy("page").agg(F.array_sort(F.collect_list(table), lambda x, y: (x["grp"] - y["grp"]).cast("int")).alias("tables"))
+    mode = F.when(F.col("page") % 3 == 1, "ocr").when(F.col("page") % 3 == 2, "text-layer")
+    out = rec.geometry_rows(made.select(F.lit("d").alias("doc"), F.col("page").cast("int").alias("page"), mode.alias("mode"), "tables"))
+    return out.select(F.col("Shelf").cast("long").alias("ord"), "table_index", "row_idx", "source_table", "verified_by", F.col("`Midas Code`").alias("code"), F.col("`Consumer Deal`").alias("deal"), F.array_join("flags", ",").alias("flags"))
+
+
+@query("""with v as (select l_suppkey as page, cast(l_partkey as double) * 4 as a, cast(l_partkey as double) * 4 + l_quantity as b from lineitem),
+m as (select *, max(b) over (partition by page order by a, b rows between unbounded preceding and 1 preceding) as reach from v),
+n as (select *, sum(case when a <= reach + 3 then 0 else 1 end) over (partition by page order by a, b rows unbounded preceding) as chain from m)
+select page, 7.0 as "at", min(a) as "from", max(b) as "to" from n group by page, chain""")
+def rule_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as pieces of one rule on the page of each supplier."""
+
+    def run(pdf):
+        import pandas as pd
+
+        merged = geo.merge_rules([(7.0, a, b) for a, b in zip(pdf.a, pdf.b)])
+        return pd.DataFrame([(int(pdf.page.iloc[0]), *m) for m in merged], columns=["page", "at", "from", "to"])
+
+    a = F.col("l_partkey").cast("double") * 4
+    pieces = _read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), a.alias("a"), (a + F.col("l_quantity")).alias("b"))
+    return pieces.groupBy("page").applyInPandas(run, "page long, at double, `from` double, `to` double")
+
+
+@query("select p_partkey as ord, case when length(cast(p_partkey as varchar)) <= 3 and p_size % 2 = 0 then cast(p_partkey as varchar) else '' end as image, p_brand as text from part")
+def sanitise_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture column keeps small numbers; other columns are cleaned."""
+    image = F.concat(F.col("p_partkey").cast("string"), F.when(F.col("p_size") % 2 == 0, " ").otherwise("x"))
+    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), va.sanitised("Image", image).alias("image"), va.sanitised("Shelf", F.concat(F.lit(" "), "p_brand", F.lit(" "))).alias("text"))
+
+
+@query(f"""with {PACK_SQL}, a as (select row_number() over (order by ord) as row, deal, std_rsp from pack), b as (select row_number() over (order by ord) as row, case when ord % 6 = 0 then deal || ' ' when ord % 7 = 0 then upper(deal) || '!' else deal end as deal, std_rsp from pack where ord > 2),
+j as (select count(*) as n, count(*) filter (where trim(a.deal) <> trim(b.deal) or trim(a.std_rsp) <> trim(b.std_rsp)) as bad from a join b using (row)), c as (select (select count(*) from a) as x, (select count(*) from b) as y)
+select x as total_rows_extracted, y as total_rows_ground, n - bad as matching_rows, bad as mismatched_rows, greatest(x - y, 0) as extra_rows_extracted, greatest(y - x, 0) as extra_rows_ground, n as rows_compared, round_even((n - bad) / n * 100, 2) as accuracy_percent from j, c""")
+def positional_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = compare.ordinals(pack(spark, sf_dir).select("ord", "deal", "std_rsp"))
+    deal = F.when(F.col("ord") % 6 == 0, F.concat("deal", F.lit(" "))).when(F.col("ord") % 7 == 0, F.concat(F.upper("deal"), F.lit("!"))).otherwise(F.col("deal"))
+    right = compare.ordinals(pack(spark, sf_dir).where("ord > 2").select("ord", deal.alias("DEAL"), F.col("std_rsp").alias(" Std_RSP ")))
+    return compare.position_summary(left, right).drop("summary")
