@@ -212,6 +212,13 @@ def test_geometry_sees_a_row_without_its_code():
     assert geo.rebuild(below, [], [], (200, 190, 600, 220), carried=t.layout).layout is None
 
 
+def test_a_row_below_the_header_that_has_a_header_word_is_a_row():
+    w = _words(HEAD + [("AERO", 10, 34, 40), ("2 POR £5", 450, 34, 60), ("MARS", 10, 64, 40), ("M123457", 300, 64, 50), ("50P", 450, 64, 40)])
+    t = geo.rebuild(w, [(55.0, 0.0, 600.0)], [], (0, -5, 600, 85))
+    assert t.layout.names == ["Product Description", "Midas Code", "Consumer Deal"]
+    assert [(r["kind"], r["cells"]["Product Description"], r["cells"]["Consumer Deal"]) for r in t.rows] == [("blank_midas", "AERO", "2 POR £5"), ("product", "MARS", "50P")]
+
+
 def test_shared_deals():
     w = _words(HEAD + [("A", 10, 30, 40), ("M123456", 300, 30, 50), ("B", 10, 60, 40), ("M123457", 300, 60, 50), ("2 FOR £5", 450, 45, 60), ("C", 10, 90, 40), ("M123458", 300, 90, 50), ("GREAT", 450, 90, 40)])
     rules = [(55.0, 0.0, 400.0), (85.0, 0.0, 600.0)]
