@@ -57,12 +57,13 @@ def covered(tables: DataFrame, sidecars: DataFrame) -> DataFrame:
 NOT_TEXT = ("Image", "Leaflet", "EAN Barcode")
 
 
-def cross_check(geometry: DataFrame, ocr: DataFrame, p: Profile = ACTIVE) -> DataFrame:
+def cross_check(geometry: DataFrame, ocr: DataFrame, p: Profile = ACTIVE, every: bool = False) -> DataFrame:
     """(page, midas, column, geometry, vlm): where a page reading differs from the rebuilt row of its code.
 
-    Both sides have ord; of equal codes the last geometry row counts.
+    Both sides have ord; of equal codes the last geometry row counts, or with ``every`` each of them.
     """
-    g = geometry.where(F.col("`Midas Code`").rlike(p.code)).groupBy(F.col("`Midas Code`").alias("_code")).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in geometry.columns]), "ord").alias("g"))
+    g = geometry.where(F.col("`Midas Code`").rlike(p.code)).select(F.col("`Midas Code`").alias("_code"), F.struct(*[F.col(f"`{c}`") for c in geometry.columns]).alias("g"))
+    g = g if every else g.groupBy("_code").agg(F.max_by("g", "g.ord").alias("g"))
     v = ocr.withColumn("_code", clean_text(F.col("`Midas Code`"))).join(g, "_code", "left")
     missing = v.where("g is null").select("page", F.col("_code").alias("midas"), F.lit("(row)").alias("column"), F.lit("").alias("geometry"), F.lit("row only in VLM output").alias("vlm"))
     cols = [c for c in p.output_columns if c not in NOT_TEXT and c in ocr.columns]
