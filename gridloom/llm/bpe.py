@@ -24,6 +24,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -98,6 +100,12 @@ NORMALISERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}
 PUNCTUATION = ".,;:!?"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: Letters up to U+00FF, which compose with nothing and have one letter in lower case; then ASCII marks but "<", which
+#: special tokens begin with: two pieces.
+PLAIN = re.compile(r"([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([!-/:;=-@[-`{-~]*)").fullmatch
+#: The characters that stand for bytes of no character of their own, in order from U+0100.
+BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
 
 class Codec:
     """A tokenizer that encodes texts chunk by chunk."""
@@ -119,40 +127,67 @@ class Codec:
         self.token = [(self.tok.id_to_token(i) or "").encode() for i in range(n)]
         self.kind = "<u2" if n <= 1 << 16 else "<u4"
         self.agreed: dict[bytes, bool] = {}
-        self.words: dict[int, bytes] = {}
+        self.forget()
         steps = (spec["normalizer"] or {}).get("normalizers", [])
         parts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         self.by_word = all(x in NORMALISERS for x in steps) and parts[0].get("pattern") == {"Regex": PATTERN} and parts[0].get("behavior") == "Removed" and parts[0].get("invert") is True
         suffix = spec["model"].get("end_of_word_suffix")
         self.final = np.array([bool(suffix) and t.endswith(suffix.encode()) for t in self.token])
 
+        # Where the steps are just these, a plain piece in lower case goes to the model as it is, its bytes as characters.
+        just = [x.get("type") for x in parts] == ["Split", "ByteLevel"] and not parts[1].get("add_prefix_space") and parts[1].get("use_regex") is False
+        self.by_piece = self.by_word and just and steps == list(NORMALISERS) and len(special) == len(spec["added_tokens"]) and not spec["model"].get("dropout")
+        self.tokenize, self.code = self.tok.model.tokenize, "H" if n <= 1 << 16 else "I"
+
+    def forget(self) -> None:
+        """No words are remembered: their hashes in order, how many ids each has and where; and no pieces."""
+        self.words, self.sizes, self.places, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+        self.pieces: dict[str, bytes] = {}
+
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def learn(self, keys: list[int], words: list[bytes]) -> None:
-        """Encode words, those of letters only (one piece each), and with a mark at the end (two), in runs that are cut where a piece ends."""
-        plain: dict[int, list[tuple[int, bytes]]] = {1: [], 2: []}  # by pieces
-        rest = []
-        for key, word in zip(keys, words):
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words: pieces that are plain one by one, others of letters, also with a mark at the end, in runs that are cut where a piece ends."""
+        out = [b""] * len(words)
+        runs: dict[int, list[int]] = {1: [], 2: []}  # by pieces
+        rest, ids = [], self.pieces
+        for k, word in enumerate(words):
             text = word.decode()
-            if text.isalpha():
-                plain[1].append((key, word))
+            if plain := self.by_piece and PLAIN(text):
+                body, tail = plain.groups()
+                body = body.lower()
+                if (made := ids.get(body)) is None:
+                    made = ids[body] = self.piece(body)
+                if tail:
+                    made += ids[tail] if tail in ids else ids.setdefault(tail, self.piece(tail))
+                out[k] = made
+            elif text.isalpha():
+                runs[1].append(k)
             elif text[:-1].isalpha() and text[-1] in PUNCTUATION:
-                plain[2].append((key, word))
+                runs[2].append(k)
             else:
-                rest.append((key, word))
-        for pieces, some in plain.items():
+                rest.append(k)
+        for pieces, some in runs.items():
             for at in range(0, len(some), 2000):
                 run = some[at : at + 2000]
-                ids = self.ids(" ".join([w.decode() for _, w in run]))
+                made = self.ids(" ".join([words[k].decode() for k in run]))
                 # Each word makes so many pieces at least, so if all make that many times their number, each makes just that many.
-                cuts = np.flatnonzero(self.final[ids]) + 1
+                cuts = np.flatnonzero(self.final[made]) + 1
                 if len(cuts) == pieces * len(run):
-                    cuts, flat, width = cuts[pieces - 1 :: pieces].tolist(), ids.tobytes(), ids.itemsize
-                    self.words.update(zip((k for k, _ in run), (flat[width * a : width * b] for a, b in zip([0, *cuts[:-1]], cuts))))
+                    cuts, flat, width = cuts[pieces - 1 :: pieces].tolist(), made.tobytes(), made.itemsize
+                    for k, x, y in zip(run, [0, *cuts[:-1]], cuts):
+                        out[k] = flat[width * x : width * y]
                 else:
                     rest += run
-        self.words.update(zip((k for k, _ in rest), (x.tobytes() for x in self.encode_many([w for _, w in rest]))))
+        for k, x in zip(rest, self.encode_many([words[k] for k in rest])):
+            out[k] = x.tobytes()
+        return out
+
+    def piece(self, text: str) -> bytes:
+        """Ids of a piece that the steps before the model have been through, but for its bytes as characters."""
+        ids = [x.id for x in self.tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(BYTES))]
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def encode_runs(self, c: Chunks, first: np.ndarray, last: np.ndarray) -> list[bytes]:
         """Ids of the runs of words from first to last, which do not overlap; a word that comes again is encoded once."""
@@ -164,16 +199,23 @@ class Codec:
         end = np.cumsum(n)
         own = np.repeat(first - end + n, n) + np.arange(int(end[-1]))
         keys, at, which = np.unique(c.hashes[own], return_index=True, return_inverse=True)
-        keys, at = keys.tolist(), own[at]
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        new = [(k, c.raw[a:b]) for k, a, b in zip(keys, c.starts[at].tolist(), c.ends[at].tolist()) if k not in self.words]
-        self.learn([k for k, _ in new], [w for _, w in new])
-        parts, width = [self.words[k] for k in keys], np.dtype(self.kind).itemsize
-        size = np.array([len(x) // width for x in parts], np.int64)
-        length = size[which]
+            self.forget()
+        spot = np.searchsorted(self.words, keys)
+        new = np.append(self.words, 0)[spot] != keys
+        new |= spot == len(self.words)
+        width = np.dtype(self.kind).itemsize
+        if new.any():
+            made = self.learn([c.raw[a:b] for a, b in zip(c.starts[own[at[new]]].tolist(), c.ends[own[at[new]]].tolist())])
+            size = np.array([len(x) // width for x in made], np.int64)
+            self.words = np.insert(self.words, spot[new], keys[new])
+            self.sizes = np.insert(self.sizes, spot[new], size)
+            self.places = np.insert(self.places, spot[new], len(self.flat) + np.cumsum(size) - size)
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(made), self.kind)])
+            spot = spot + np.cumsum(new) - new  # new words before each
+        length = self.sizes[spot][which]
         to = np.concatenate([[0], np.cumsum(length)])
-        flat = np.frombuffer(b"".join(parts), self.kind)[np.repeat((np.cumsum(size) - size)[which] - to[:-1], length) + np.arange(to[-1])].tobytes()
+        flat = self.flat[np.repeat(self.places[spot][which] - to[:-1], length) + np.arange(to[-1])].tobytes()
         cut = (width * to[np.concatenate([[0], end])]).tolist()
         return [flat[a:b] for a, b in zip(cut, cut[1:])]
 

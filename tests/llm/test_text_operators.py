@@ -352,6 +352,23 @@ def test_bpe_without_words_apart(rows, monkeypatch):
         assert list(apart.run(c)) == list(whole.run(c))
 
 
+def test_bpe_by_pieces(monkeypatch):
+    """Plain words go to the model by their pieces, each piece once, with the tokenizer's ids; other words go another way."""
+    public = pytest.importorskip("public_tokenizers")
+    codec = bpe.Codec(public.path("word_bpe_49k.json"))
+    assert codec.by_piece
+    letters = "".join(map(chr, [*range(65, 91), *range(97, 123), 170, 181, 186, *(x for x in range(192, 256) if x not in (215, 247))]))
+    marks = "".join(chr(x) for x in range(33, 127) if not chr(x).isalnum())
+    plain = [a + b for a, b in zip(letters, letters[1:])] + [f"Ma{x}" for x in marks if x != "<"] + ["straße###", "ÉTÉ.%%%", "x''", "a|>", letters]
+    other = [f"n{x}s" for x in marks] + ["don't", "I'LL", "x<|", "b<", "<|endoftext|>", "a<|endoftext|>b", "İx", "é", "日本", "日本,", "ä5", "×", "1,2", "ǅ", "가", "\x01x"]
+    want = [np.array(codec.tok.encode(w, add_special_tokens=False).ids, codec.kind).tobytes() for w in plain + other]
+    assert codec.learn([w.encode() for w in plain + other]) == want
+    assert all(map(bpe.PLAIN, plain)) and not any(map(bpe.PLAIN, other))
+    asked = []
+    monkeypatch.setattr(codec, "piece", asked.append)
+    assert codec.learn([w.encode() for w in plain]) == want[: len(plain)] and not asked
+
+
 def test_bpe_of_repeated_rows_and_null_ids(spark, scratch):
     public = pytest.importorskip("public_tokenizers")
     text = " ".join(f"word{k}" for k in range(200))
